@@ -51,6 +51,21 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN chanc
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as read back from the store's last version."""
+    from pyspark.sql import functions as F
+
+    from .scratch import new_folder
+    from .sharding import shard_table
+
+    store = shard_table(_table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    store.vacuum(keep=1)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP2_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -60,12 +75,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    packed = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "length", "bucket", "bucket_length", "batch", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_minhash": op9_minhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op2_sharding": OP2_SQL,
 }
