@@ -19,6 +19,18 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.col("doc_id")
+    model = fit(docs, _table(spark, sf_dir, "labels"), ~held_out(out))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out(out).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_passages")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -116,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_ann": op6_ann,
+    "op7_toxicity": op7_toxicity,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }

@@ -19,6 +19,9 @@ _BASE_BYTE = 0x9E3779B97F4A7C15 | 1
 _BASE_WORD = 0xD1342543DE82EF95 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes that stand between letter tokens: all of ASCII but letters and digits.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -80,11 +83,11 @@ class Words:
 
     __slots__ = ("buf", "doc_bytes", "ends", "first", "hashes", "starts")
 
-    def __init__(self, buf: np.ndarray, doc_bytes: np.ndarray, *, lower: bool = False, hashed: bool = True) -> None:
+    def __init__(self, buf: np.ndarray, doc_bytes: np.ndarray, *, lower: bool = False, hashed: bool = True, space: np.ndarray = _SPACE) -> None:
         if lower:
             buf = _LOWER[buf]
         self.buf, self.doc_bytes = buf, doc_bytes
-        inside = ~_SPACE[buf]
+        inside = ~space[buf]
         begin, end = inside.copy(), inside.copy()
         if len(buf):
             begin[1:] &= ~inside[:-1]
@@ -100,6 +103,12 @@ class Words:
         if hashed:
             self.hashes = span_hash(sums(_BYTE_CODE[buf], _BYTE_POWERS), self.starts, self.ends, _BYTE_POWERS) if len(self.starts) else np.zeros(0, dtype=_U)
 
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """Hashes of each word's first `size` bytes."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=_U)
+        return span_hash(sums(_BYTE_CODE[self.buf], _BYTE_POWERS), self.starts, np.minimum(self.ends, self.starts + size), _BYTE_POWERS)
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
