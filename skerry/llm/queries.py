@@ -37,6 +37,31 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(out).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_passages")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lm_scoring import backoff_scores
+
+    scored = backoff_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, row_no
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row_no FROM documents)
+), placed AS (SELECT *, lag(w) OVER (PARTITION BY row_no ORDER BY i) AS before FROM words),
+one AS (SELECT w, count(*)::DOUBLE AS n FROM words GROUP BY w),
+two AS (SELECT before, w, count(*)::DOUBLE AS n FROM placed WHERE i > 1 GROUP BY before, w),
+scored AS (
+  SELECT p.row_no, CASE WHEN two.n >= 2 THEN ln(two.n / context.n) ELSE ln(one.n / (SELECT count(*) FROM words)) + CASE WHEN p.i > 1 THEN ln(0.4) ELSE 0 END END AS s
+  FROM placed p JOIN one ON p.w = one.w LEFT JOIN one AS context ON p.before = context.w LEFT JOIN two ON p.before = two.before AND p.w = two.w
+), summed AS (SELECT row_no, count(*) AS n_words, sum(s) AS score FROM scored GROUP BY row_no)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score
+FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) d LEFT JOIN summed USING (row_no)
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -136,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
@@ -144,4 +170,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op2_sharding": OP2_SQL,
     "op3_exact_topk": OP3_SQL,
+    "op8_lm_scoring": OP8_SQL,
 }
