@@ -5,8 +5,8 @@
 2. Documents with equal sets form classes (similarity 1); only one member of a class goes on,
    so thousands of copies cost one row each and never a pair.
 3. Signatures are cut into bands; classes that agree in a band are candidates.  In each band
-   bucket every class is first paired with the bucket's least class (a star, so as many pairs
-   as rows).  Buckets that then still hold more than one component get their remaining
+   bucket every class is first paired with one pivot, the class that stands in the fullest
+   buckets (a star, so as many pairs as rows).  Buckets that then still hold more than one component get their remaining
    cross-component pairs, each of them; pairs inside a component could not change the result.
 4. Candidates are compared in signature batches.  After each batch the posterior of the
    similarity (Beta prior, binomial matches) prunes the pair once the probability that it
@@ -151,15 +151,13 @@ def _exact(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([xs.filter(keep), ys.filter(keep)], names=["u", "v"])
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, held: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """The pairs (x, y) of representatives that are links."""
     sig_x = reps.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x"))
     sig_y = reps.select(F.col("rep").alias("y"), F.col("sig").alias("sig_y"))
     least = least_matches(percent / 100, miss)
     near = pairs.join(sig_x, "x").join(sig_y, "y").select("x", "y", "sig_x", "sig_y").mapInArrow(lambda it: _survivors(it, least), "x long, y long")
     near = materialize(near, "survivors")
-    ends = near.select(F.col("x").alias("rep")).union(near.select("y")).distinct()
-    held = materialize(texts.join(ends, "rep", "left_semi").dropDuplicates(["rep", "text"]), "texts")
     text_x, text_y = held.select(F.col("rep").alias("x"), F.col("text").alias("text_x")), held.select(F.col("rep").alias("y"), F.col("text").alias("text_y"))
     both = near.join(text_x, "x").join(text_y, "y").select("x", "y", "text_x", "text_y")
     return materialize(both.mapInArrow(lambda it: _exact(it, size, percent), "u long, v long"), "links")
@@ -174,18 +172,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(source.mapInArrow(lambda it: _prints(it, shingle), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary"), "prints")
     ruled = prints.filter("n_shingles > 0 and doc_id is not null")
-    classes = ruled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written first, so that the joins with it are plain joins, which Spark can split at a class of many copies
+    classes = materialize(ruled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     # A doc_id on several rows with different texts may stand for several classes: they meet in one node.
     one = ruled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
-    reps = materialize(one.groupBy(F.col("doc_id").alias("rep"), "fp1", "fp2", "n_shingles").agg(F.min("sig").alias("sig")).select("rep", "sig"), "classes")
+    reps = materialize(one.groupBy(F.col("doc_id").alias("rep"), "fp1", "fp2", "n_shingles").agg(F.min("sig").alias("sig")).select("rep", "sig"), "members")
     texts = source.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
 
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * 4 * ROWS + 1}, {4 * ROWS})")) for i in range(BANDS)])).alias("bucket")
     banded = reps.select("rep", band)
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top").select("bucket", "pivot")
-    member = materialize(banded.join(shared, "bucket"), "members")
-    stars = member.filter("rep > pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = _verify(stars, reps, texts, shingle, percent, miss)
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    member = materialize(banded.join(shared, "bucket"), "buckets")
+    # The centre of a group of copies agrees with most of them, so it stands in the fullest buckets: the best pivot.
+    fame = member.groupBy("rep").agg(F.sum("n").alias("fame"))
+    pivots = member.join(fame, "rep").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("p")).select("bucket", (-F.col("p.r")).alias("pivot"))
+    member = materialize(member.join(pivots, "bucket").select("bucket", "rep", "pivot"), "pivots")
+    # Texts of all candidates, once; the candidates grow with the corpus, so they aren't broadcast at any size.
+    held = materialize(texts.join(member.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep", "text"]), "texts")
+    stars = member.filter("rep != pivot").select(F.greatest("rep", "pivot").alias("x"), F.least("rep", "pivot").alias("y")).distinct()
+    links = _verify(stars, reps, held, shingle, percent, miss)
     found = materialize(components(links), "components")
 
     # What a star cannot show: buckets that hold several components get all their cross pairs.
@@ -198,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     other = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), "pivot")
     cross = minor.join(other, "bucket").filter("ca != cb and a != pivot and b != pivot and (cb = main or a < b)")
     cross = cross.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
-    more = _verify(cross, reps, texts, shingle, percent, miss)
+    more = _verify(cross, reps, held, shingle, percent, miss)
     final = components(links.union(more))
 
     member_of = prints.join(classes, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
@@ -209,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group, the one of the least doc_id, and one row of it; columns as they were."""
-    keyed = docs.withColumn("__print", F.xxhash64("text"))
-    gone = near_duplicates(docs.select("doc_id", "text"), **how).filter("not kept").select("doc_id").distinct()
-    kept = keyed.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "__print"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_duplicates(docs.select("doc_id", "text"), **how).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    packed = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__print"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kept = packed.join(gone.hint("merge"), F.col("__id").cast("long") == F.col("__gone"), "left_anti").dropDuplicates(["__id", "__print"])
+    return kept.select("__row.*")

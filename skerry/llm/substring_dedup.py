@@ -253,7 +253,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16, shard_c
     known = docs.filter("__id is not null and __text is not null")
     places = known.mapInArrow(lambda it: _anchor_rows(it, window, gram), "id long, key long, anchor long, context long, lo int, hi int")
     places = materialize(places, "anchors")
-    shared = places.groupBy("anchor").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("anchor")
+    # written first, so that the join with it is a plain one, which Spark can split at a very common anchor
+    shared = materialize(places.groupBy("anchor").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("anchor"), "anchors")
     places = materialize(places.join(shared, "anchor", "left_semi"), "shared")
     contexts = materialize(places.groupBy("anchor", "context").agg(F.min(F.struct("id", "key", "lo", "hi")).alias("r")).select("anchor", "context", "r.*"), "contexts")
 
@@ -270,7 +271,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16, shard_c
     large = windows.join(least, ["w1", "w2"]).filter("_a < id").select("anchor", "context", "lo", (F.col("lo") + window).alias("hi"))
     found = found.unionByName(large).groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
-    verdict = contexts.select("anchor", "context", F.col("id").alias("owner")).join(found, ["anchor", "context"], "left")
+    verdict = materialize(contexts.select("anchor", "context", F.col("id").alias("owner")).join(found, ["anchor", "context"], "left"), "verdicts")
     placed = places.join(verdict, ["anchor", "context"])
     whole = F.array(F.struct("lo", "hi"))
     inner = F.transform("found", lambda s: F.struct((s.lo + F.col("lo")).alias("lo"), (s.hi + F.col("lo")).alias("hi")))
