@@ -76,7 +76,8 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int, trees: int, bits: int, s
         for row in batch.to_pylist():
             (q_ids, q), (c_ids, c) = (bl.arrays(row, side, row["dim"]) for side in "qc")
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            wanted = max(int(np.ceil(share * len(c_ids))), k + 1)
+            # entries of trees * (k + 1) put k + 1 rows, one of them perhaps the query, under some tree's prefix
+            wanted = max(int(np.ceil(share * len(c_ids))), trees * (k + 1))
             for i, at in enumerate(Forest(c, trees, bits).candidates(q, wanted)):
                 at = at[c_ids[at] != q_ids[i]]
                 distance = np.sqrt(((c[at] - q[i]) ** 2).sum(axis=1))
