@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,10 @@ class Store:
     def sizes(self, folder: str) -> dict[str, int]:
         return {f.getPath().getName(): f.getLen() for f in self._fs.listStatus(self._path(folder)) if f.isFile()}
 
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder was last written."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> dict:
         stream = self._fs.open(self._path(name))
         try:
