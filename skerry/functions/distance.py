@@ -78,7 +78,8 @@ def late_interaction(v: Column, queries: Sequence[Sequence[float]], metric: str
     """Distance of a multivector to several query vectors: for each the nearest of v's, summed."""
     if metric != "cosine":
         raise ValueError("multivectors are compared by cosine")
-    return _sum([F.array_min(F.transform(v, lambda x, q=q: _cosine_of(x, q))) for q in queries])
+    nearest = lambda q: F.array_min(F.transform(v, lambda x: _cosine_of(x, q)))
+    return _sum([nearest(q) for q in queries])
 
 
 def _cosine_of(x: Column, q: Sequence[float]) -> Column:

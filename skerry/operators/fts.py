@@ -307,12 +307,14 @@ class Search:
         found = hits.groupBy("_rowid").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
         found = found.filter(F.size("at") == len(set(terms)))
 
+        def first_after(term: str, before: Column) -> Column:
+            return F.array_min(F.filter(F.col("at")[F.lit(term)], lambda x: x > before))
+
         def ends_well(p: Column) -> Column:
             """Whether the phrase starts at p: each next term at its first place after the last one."""
             last = p
             for t in terms[1:]:
-                before = last
-                last = F.array_min(F.filter(F.col("at")[F.lit(t)], lambda x, before=before: x > before))
+                last = first_after(t, last)
             return F.coalesce(last - p - (len(terms) - 1) <= q.slop, F.lit(False))
 
         tf = F.size(F.filter(F.col("at")[F.lit(terms[0])], ends_well)).cast("double")

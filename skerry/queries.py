@@ -190,7 +190,7 @@ def project_sort_page(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, lower(c_mktsegment) AS lo, upper(c_name) AS up, contains(c_name, '99') AS has, trim(concat('  ', c_mktsegment, ' ')) AS bt, octet_length(c_name::BLOB)::INTEGER AS bytes,
+SELECT c_custkey, lower(c_mktsegment) AS lo, upper(c_name) AS up, contains(c_name, '99') AS has, trim(concat('  ', c_mktsegment, ' ')) AS bt, octet_length(encode(c_name))::INTEGER AS bytes,
   c_acctbal::BIGINT::VARCHAR AS kind, c_custkey % 7 IN (1, 3) AS listed, c_nationkey + 2 * c_custkey AS sum, c_acctbal IS NULL AS gone, c_name LIKE '%1_' AS fits
 FROM customer WHERE NOT (c_acctbal < 0)
 """)
@@ -239,7 +239,7 @@ def nested_fields(spark, sf_dir):
     return table.query().select({"doc_id": "doc_id", "lang": "meta.lang", "source": "meta.`from`.source"}).to_df()
 
 
-@query("SELECT doc_id, octet_length(text::BLOB)::INTEGER AS size, hex(substr(text, 1, 1)::BLOB)[1:2] AS head FROM documents WHERE text <> ''")
+@query("SELECT doc_id, octet_length(encode(text))::INTEGER AS size, hex(encode(substr(text, 1, 1)))[1:2] AS head FROM documents WHERE text <> ''")
 def blob_ranges(spark, sf_dir):
     table = imported(spark, sf_dir, "documents", "blobs", lambda df: df.select("doc_id", F.col("text").cast("binary").alias("payload")))
     return table.query().where("octet_length(payload) > 0").select({"doc_id": "doc_id", "size": "octet_length(payload)", "head": "hex(substring(payload, 1, 1))"}).to_df()
@@ -521,8 +521,8 @@ def permutation_hash(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at, count(*) OVER ahead AS n, string_agg(text, ' ') OVER ahead AS text FROM conversations WINDOW ahead AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-SELECT conv_id, turn, role, md5(text) AS text FROM w WHERE at % 2 = 0 AND n >= 2
+WITH w AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER ahead AS n, string_agg(text, ' ') OVER ahead AS text FROM conversations WINDOW ahead AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT conv_id, turn, role, md5(text) AS text FROM w WHERE place % 2 = 0 AND n >= 2
 """)
 def context_windows(spark, sf_dir):
     from .plans.context import contextualize
@@ -575,8 +575,8 @@ SELECT p_brand, count(l_orderkey) AS sold, count(*) AS n FROM part LEFT JOIN lin
 
 
 @query("""
-SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS at FROM orders WHERE o_custkey < 100)
-ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) e ON o_custkey = e.user_id AND at >= e.ts
+SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS due FROM orders WHERE o_custkey < 100)
+ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) e ON o_custkey = e.user_id AND due >= e.ts
 """)
 def join_as_of(spark, sf_dir):
     """For each row the last event of its key up to its time: one union and one window, no pairs."""
