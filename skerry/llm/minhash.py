@@ -6,12 +6,16 @@
    so thousands of copies cost one row each and never a pair.
 3. Signatures are cut into bands; classes that agree in a band are candidates.  In each band
    bucket every class is first paired with one pivot, the class that stands in the fullest
-   buckets (a star, so as many pairs as rows).  Buckets that then still hold more than one component get their remaining
-   cross-component pairs, each of them; pairs inside a component could not change the result.
+   buckets (a star, so as many pairs as rows).
 4. Candidates are compared in signature batches.  After each batch the posterior of the
    similarity (Beta prior, binomial matches) prunes the pair once the probability that it
    reaches the threshold falls below `miss`.
 5. Survivors are verified exactly on the full shingle sets of whole texts.
+6. Buckets that then still hold more than one component are cut into blocks of bounded size, and
+   every two blocks of a bucket meet in one row.  There the pairs of different components go
+   through the same sequential comparison and exact verification, and of the links found only
+   those that join two components are emitted: a block of a thousand near copies gives at most
+   a thousand rows, however many of its pairs are links, and no connection is lost.
 
 Bands: 24 of 4 rows lose a pair of similarity 0.8 with probability 3e-6 (less above it); a
 document in a group has many such pairs, and one verified path is enough.
@@ -37,6 +41,7 @@ from .components import components
 from .scratch import materialize
 
 BANDS, ROWS, BATCH = 24, 4, 16
+BLOCK_SHINGLES, STRIP = 1 << 17, 64
 N_HASHES = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -151,6 +156,90 @@ def _exact(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([xs.filter(keep), ys.filter(keep)], names=["u", "v"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
+            hashes, first = shingle_sets(buf, doc_bytes, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), tx.binary_rows(hashes.view(np.uint8), first[1:] * 8)], names=["rep", "shingles"])
+
+
+class _Block:
+    """Members of a bucket: ids, components, sets one after the other, and signatures."""
+
+    def __init__(self, members: list[dict]) -> None:
+        self.rep = np.array([m["rep"] for m in members], dtype=np.int64)
+        self.component = np.array([m["component"] for m in members], dtype=np.int64)
+        sizes = np.array([len(m["shingles"]) // 8 for m in members], dtype=np.int64)
+        self.size, self.first = sizes, np.append(0, np.cumsum(sizes))
+        self.hashes = np.frombuffer(b"".join(m["shingles"] for m in members), dtype=np.uint64)
+        self.sig = signatures(self.hashes, self.first)
+
+    def incidence(self, members: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+        """(members x vocabulary) ones where a member's set holds the shingle."""
+        at = np.concatenate([np.arange(self.first[m], self.first[m + 1]) for m in members])
+        owner = np.repeat(np.arange(len(members)), self.size[members])
+        place = np.minimum(np.searchsorted(vocabulary, self.hashes[at]), len(vocabulary) - 1)
+        held = vocabulary[place] == self.hashes[at]
+        out = np.zeros((len(members), len(vocabulary)), dtype=np.float32)
+        out[owner[held], place[held]] = 1
+        return out
+
+    def shingles(self, members: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([self.hashes[self.first[m] : self.first[m + 1]] for m in members]))
+
+
+def block_links(a: _Block, b: _Block | None, percent: int, least: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of a and of b (or within a) that together join every two components that a link joins."""
+    inside, b = b is None, a if b is None else b
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = above.get(up, up)
+            c = up
+        return c
+
+    out: list[tuple[int, int]] = []
+    for low in range(0, len(a.rep), STRIP):
+        strip = np.arange(low, min(low + STRIP, len(a.rep)))
+        tops_a, tops_b = (np.array([top(int(c)) for c in x]) for x in (a.component[strip], b.component))
+        smaller, larger = np.minimum(a.size[strip][:, None], b.size[None, :]), np.maximum(a.size[strip][:, None], b.size[None, :])
+        pairs = (tops_a[:, None] != tops_b[None, :]) & (100 * smaller >= percent * larger)
+        if inside:
+            pairs &= strip[:, None] < np.arange(len(b.rep))[None, :]
+        x, y = np.nonzero(pairs)
+        if not len(x):
+            continue
+        keep = np.concatenate([bayes_filter(a.sig[strip[x[k : k + 65536]]], b.sig[y[k : k + 65536]], least) for k in range(0, len(x), 65536)])
+        x, y = x[keep], y[keep]
+        if not len(x):
+            continue
+        mine, theirs = np.unique(x), np.unique(y)
+        vocabulary = np.intersect1d(a.shingles(strip[mine]), b.shingles(theirs), assume_unique=True)
+        if not len(vocabulary):
+            continue
+        shared = a.incidence(strip[mine], vocabulary) @ b.incidence(theirs, vocabulary).T
+        x_at, y_at = np.searchsorted(mine, x), np.searchsorted(theirs, y)
+        both = np.rint(shared[x_at, y_at]).astype(np.int64)
+        found = 100 * both >= percent * (a.size[strip[x]] + b.size[y] - both)
+        for i, j in zip(strip[x[found]].tolist(), y[found].tolist(), strict=True):
+            p, q = top(int(a.component[i])), top(int(b.component[j]))
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                out.append((int(a.rep[i]), int(b.rep[j])))
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b = (batch.column(k)[i].as_py() for k in (0, 1))
+            found = block_links(_Block(a), None if b is None else _Block(b), percent, least)
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, held: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """The pairs (x, y) of representatives that are links."""
     sig_x = reps.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x"))
@@ -163,7 +252,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, held: DataFrame, size: int, perce
     return materialize(both.mapInArrow(lambda it: _exact(it, size, percent), "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links are pairs with 100 * |A & B| >= percent * |A | B| on sets of `shingle`-word shingles.
@@ -176,34 +265,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     classes = materialize(ruled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     # A doc_id on several rows with different texts may stand for several classes: they meet in one node.
     one = ruled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
-    reps = materialize(one.groupBy(F.col("doc_id").alias("rep"), "fp1", "fp2", "n_shingles").agg(F.min("sig").alias("sig")).select("rep", "sig"), "members")
+    reps = materialize(one.groupBy(F.col("doc_id").alias("rep"), "fp1", "fp2", "n_shingles").agg(F.min("sig").alias("sig")).select("rep", "n_shingles", "sig"), "members")
     texts = source.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
 
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * 4 * ROWS + 1}, {4 * ROWS})")) for i in range(BANDS)])).alias("bucket")
-    banded = reps.select("rep", band)
+    banded = reps.select("rep", "n_shingles", band)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = materialize(banded.join(shared, "bucket"), "buckets")
     # The centre of a group of copies agrees with most of them, so it stands in the fullest buckets: the best pivot.
     fame = member.groupBy("rep").agg(F.sum("n").alias("fame"))
     pivots = member.join(fame, "rep").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("p")).select("bucket", (-F.col("p.r")).alias("pivot"))
-    member = materialize(member.join(pivots, "bucket").select("bucket", "rep", "pivot"), "pivots")
+    member = materialize(member.join(pivots, "bucket").select("bucket", "rep", "n_shingles", "pivot"), "pivots")
     # Texts of all candidates, once; the candidates grow with the corpus, so they aren't broadcast at any size.
     held = materialize(texts.join(member.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep", "text"]), "texts")
     stars = member.filter("rep != pivot").select(F.greatest("rep", "pivot").alias("x"), F.least("rep", "pivot").alias("y")).distinct()
     links = _verify(stars, reps, held, shingle, percent, miss)
     found = materialize(components(links), "components")
 
-    # What a star cannot show: buckets that hold several components get all their cross pairs.
-    labelled = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "pivot", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    sizes = labelled.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    rest = materialize(labelled.join(main, "bucket"), "mixed")
-    minor = rest.filter("component != main").select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), "main")
-    other = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), "pivot")
-    cross = minor.join(other, "bucket").filter("ca != cb and a != pivot and b != pivot and (cb = main or a < b)")
-    cross = cross.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
-    more = _verify(cross, reps, held, shingle, percent, miss)
+    # What a star cannot show: buckets that still hold several components.
+    labelled = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("parts")).filter("_lo < _hi")
+    rest = materialize(labelled.join(mixed.select("bucket", "parts"), "bucket").select("bucket", "rep", "component", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "mixed")
+    sets = held.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(lambda it: _sets(it, shingle), "rep long, shingles binary")
+    blocks = rest.join(sets, "rep").groupBy("bucket", "parts", "part").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("a"))
+    blocks = materialize(blocks, "blocks")
+    left = blocks.select("bucket", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "a")
+    right = blocks.filter("part > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("i"), F.col("part").alias("j"), F.col("a").alias("b"))
+    facing = left.join(right, ["bucket", "i", "j"], "left").select("a", "b")
+    least = least_matches(percent / 100, miss)
+    more = materialize(facing.mapInArrow(lambda it: _block_links(it, percent, least), "u long, v long"), "more")
     final = components(links.union(more))
 
     member_of = prints.join(classes, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))

@@ -483,6 +483,20 @@ def test_near_duplicates(docs, corpus, size):
     assert all(r.kept == (r.component_id in (None, r.doc_id)) for r in got)
 
 
+@pytest.mark.parametrize("block", [600, 1 << 17])
+def test_a_group_of_many_near_copies(spark, block):
+    """Copies whose likeness to each other lies around the threshold: links in plenty, and many that just fail."""
+    rng = np.random.default_rng(8)
+    base, rows = sentence(rng, 100), []
+    for i in range(160):
+        w = list(base)
+        for at in rng.integers(0, 100, int(rng.integers(0, 9))):
+            w[at] = f"edit{rng.integers(40)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), shingle=4, block_shingles=block).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near(rows, 4, 80)
+
+
 def test_drop_near_duplicates(docs, corpus, none):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
