@@ -32,7 +32,7 @@ from . import fts, vector
 
 VECTOR_KINDS = {"ivf_flat": "flat", "ivf_sq": "sq", "ivf_pq": "pq", "ivf_rq": "rq", "ivf_hnsw_flat": "flat", "ivf_hnsw_sq": "sq", "ivf_hnsw_pq": "pq"}
 SCALAR_KINDS = ("btree", "bitmap", "label_list", "fm")
-PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, MAX_PARTITIONS = 20, 256, 50, 1 << 20, 4096
+PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, MAX_PARTITIONS, SPREAD_START = 20, 256, 50, 1 << 20, 4096, 256
 #: Commits after which every row that an index covers still is as it was.
 _APPENDS = ("append", "compact", "primary_key", "field_metadata", "add_columns", "drop_columns", "computed_column", "view", "stream")
 _POOL = ThreadPoolExecutor(4)
@@ -160,11 +160,23 @@ def _since(table, entry: dict) -> tuple[DataFrame | None, DataFrame | None]:
 
 
 def kmeans(rows: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 1) -> np.ndarray:
-    """k centroids (fewer if there are fewer different rows) of a sample by Lloyd's iterations from random rows; empty ones restart at the farthest row."""
+    """k centroids (fewer if there are fewer rows) of a sample by Lloyd's iterations; empty ones restart at the farthest row.
+
+    Up to SPREAD_START of them start far from each other (by squared distance), more start at random rows.
+    """
     rng = np.random.default_rng(seed)
     rows = np.asarray(rows, dtype=np.float64)
     k = min(k, len(rows))
-    centers = rows[rng.choice(len(rows), k, replace=False)].copy()
+    if k <= SPREAD_START:
+        picked = [int(rng.integers(len(rows)))]
+        gap = ((rows - rows[picked[0]]) ** 2).sum(axis=1)
+        for _ in range(k - 1):
+            total = gap.sum()
+            picked.append(int(rng.choice(len(rows), p=gap / total)) if total > 0 else int(rng.integers(len(rows))))
+            gap = np.minimum(gap, ((rows - rows[picked[-1]]) ** 2).sum(axis=1))
+        centers = rows[picked].copy()
+    else:
+        centers = rows[rng.choice(len(rows), k, replace=False)].copy()
     norms = (rows**2).sum(axis=1)
     at = np.full(len(rows), -1)
     for _ in range(iterations):

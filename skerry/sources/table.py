@@ -294,10 +294,10 @@ class Table:
 
         return Query(self)
 
-    def search(self, what=None, **how):
+    def search(self, what=None, column: str | None = None, **how):
         from ..operators.query import search
 
-        return search(self, what, **how)
+        return search(self, what, column, **how)
 
     def view(self, name: str) -> str:
         """Register the table as a temp view, for Spark SQL."""
@@ -325,14 +325,14 @@ class Table:
         from ..functions.registry import embed
 
         frame = ingest.to_frame(self.spark, data)
+        given = frame.columns
         for spec in m.properties.get("embeddings", []):
             if spec["target"] not in frame.columns:
                 frame = embed(frame, spec)
         computed = {c["name"] for c in m.properties.get("computed", [])}
-        if given := computed & set(frame.columns):
-            raise ValueError(f"computed columns are filled by refresh(): {sorted(given)}")
+        if hit := computed & set(given):
+            raise ValueError(f"computed columns are filled by refresh(): {sorted(hit)}")
         schema = T.StructType([f if f.name not in computed else T.StructField(f.name, f.dataType) for f in m.schema])
-        given = frame.columns
         frame = ingest.cast_to(frame, schema)
         for f in m.schema:
             if "dim" in f.metadata and f.name in given and on_bad_vectors != "keep":
