@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .scratch import materialize
 
-ORDER, ALPHA, MIN_COUNT, BATCH_BYTES, PARTITION_BYTES = 2, 0.4, 2, 4 << 20, 8 << 20
+ORDER, ALPHA, MIN_COUNT, BATCH_BYTES, PARTITION_BYTES, RUN_BYTES = 2, 0.4, 2, 4 << 20, 4 << 20, 1 << 19
 
 
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,7 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
     n_words = held = 0
     press = zstandard.ZstdCompressor(level=1)
 
-    def packed() -> pa.RecordBatch:
+    def batch_row() -> pa.RecordBatch:
         text = press.compress(b"".join(parts))
         values = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([text], pa.binary()), pa.array([n_words], pa.int64()), pa.array([held], pa.int64())]
         return pa.RecordBatch.from_arrays(values, names=["batch", "ids", "sizes", "text", "n_words", "n_bytes"])
@@ -59,29 +59,40 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
             n_words += len(tx.Words(buf, doc_bytes, hashed=False).starts)
             held += len(buf)
             if held >= limit:
-                yield packed()
+                yield batch_row()
                 ids, sizes, parts, n_words, held = [], [], [], 0, 0
     if ids:
-        yield packed()
+        yield batch_row()
 
 
 class _Grams:
-    """The n-grams of a batch: for each order the words they end at and their hashes."""
+    """The n-grams of a batch: each document's first word, for each order the words they end at, and their hashes.
+
+    Texts are hashed by runs of whole documents, so that only the hashes of a batch are held at once.
+    """
 
     def __init__(self, text: bytes, sizes: list[int], order: int) -> None:
         buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), dtype=np.uint8)
         doc_bytes = np.concatenate(([0], np.cumsum(np.asarray(sizes, dtype=np.int64))))
-        self.words = tx.Words(buf, doc_bytes)
-        doc = self.words.doc_of_word()
-        n = len(doc)
-        self.place = np.arange(n) - self.words.first[:-1][doc]
-        prefix = tx.sums(self.words.hashes)
-        self.ends, hashes = [], []
-        for k in range(1, order + 1):
-            end = np.flatnonzero(self.place >= k - 1)
-            self.ends.append(end)
-            hashes.append(tx.span_hash(prefix, end - k + 1, end + 1))
-        self.keys, self.at, self.counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        firsts, places = [np.zeros(1, dtype=np.int64)], []
+        ends: list[list[np.ndarray]] = [[] for _ in range(order)]
+        hashes: list[list[np.ndarray]] = [[] for _ in range(order)]
+        row = n = 0
+        while row < len(sizes):
+            stop = max(row + 1, int(np.searchsorted(doc_bytes, doc_bytes[row] + RUN_BYTES, side="right")) - 1)
+            words = tx.Words(buf[doc_bytes[row] : doc_bytes[stop]], doc_bytes[row : stop + 1] - doc_bytes[row])
+            place = np.arange(len(words.starts)) - words.first[:-1][words.doc_of_word()]
+            prefix = tx.sums(words.hashes)
+            for k in range(order):
+                end = np.flatnonzero(place >= k)
+                ends[k].append(end + n)
+                hashes[k].append(tx.span_hash(prefix, end - k, end + 1))
+            firsts.append(words.first[1:] + n)
+            places.append(place)
+            row, n = stop, n + len(place)
+        whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        self.first, self.place, self.ends = whole(firsts), whole(places), [whole(e) for e in ends]
+        self.keys, self.at, self.counts = np.unique(np.concatenate([whole(h).astype(np.uint64) for h in hashes]), return_inverse=True, return_counts=True)
 
     def dealt(self, partitions: int) -> tuple[np.ndarray, np.ndarray]:
         """Order of the keys by partition, and each partition's first place in it."""
@@ -90,18 +101,28 @@ class _Grams:
         return order, np.searchsorted(part[order], np.arange(partitions + 1))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit numbers as byte planes: the zero bytes of small numbers lie together and pack to nothing."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes: the zero bytes of small numbers lie together and pack to almost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their steps."""
+    return packed(np.diff(keys, prepend=np.zeros(1, dtype=np.uint64)))
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 def _entries(batches: Iterator[pa.RecordBatch], order: int, partitions: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
             grams = _Grams(row["text"], row["sizes"], order)
             to, first = grams.dealt(partitions)
             keys, counts = grams.keys[to], grams.counts[to]
@@ -109,7 +130,7 @@ def _entries(batches: Iterator[pa.RecordBatch], order: int, partitions: int) ->
             for at in range(0, len(full), 64):
                 some = full[at : at + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array([row["batch"]] * len(some)), pa.array([keys[first[p] : first[p + 1]].tobytes() for p in some], pa.binary()), pa.array([planes(counts[first[p] : first[p + 1]]) for p in some], pa.binary())],
+                    [pa.array(some), pa.array([row["batch"]] * len(some)), pa.array([packed_keys(keys[first[p] : first[p + 1]]) for p in some], pa.binary()), pa.array([packed(counts[first[p] : first[p + 1]]) for p in some], pa.binary())],
                     names=["part", "batch", "keys", "counts"],
                 )
 
@@ -119,16 +140,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = None, []
 
     def answer() -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for _, k, _ in held])
-        counts = np.concatenate([from_planes(c) for _, _, c in held])
-        _, at = np.unique(keys, return_inverse=True)
-        table = np.zeros(int(at.max()) + 1, dtype=np.uint64)
-        np.add.at(table, at, counts)
-        total = np.split(table[at], np.cumsum([len(k) // 8 for _, k, _ in held])[:-1])
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held]), pa.array([part] * len(held), pa.int64()), pa.array([planes(t) for t in total], pa.binary())], names=["batch", "part", "totals"])
+        entries = [unpacked_keys(k) for _, k, _ in held]
+        stops = np.cumsum([len(k) for k in entries])
+        _, at = np.unique(np.concatenate(entries), return_inverse=True)
+        del entries
+        table = np.bincount(at, weights=np.concatenate([unpacked(c) for _, _, c in held])).astype(np.uint64)
+        total = np.split(table[at], stops[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held]), pa.array([part] * len(held), pa.int64()), pa.array([packed(t) for t in total], pa.binary())], names=["batch", "part", "totals"])
 
     for batch in batches:
-        for p, name, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for i in range(batch.num_rows):
+            p, name, keys, counts = (batch.column(c)[i].as_py() for c in range(4))
             if p != part:
                 if held:
                     yield answer()
@@ -140,12 +162,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(batches: Iterator[pa.RecordBatch], order: int, alpha: float, min_count: int, partitions: int, total: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
             grams = _Grams(row["text"], row["sizes"], order)
             to, _ = grams.dealt(partitions)
             counts = np.zeros(len(grams.keys))
             if row["answers"]:
-                counts[to] = np.concatenate([from_planes(a["totals"]) for a in sorted(row["answers"], key=lambda a: a["part"])])
+                counts[to] = np.concatenate([unpacked(a["totals"]) for a in sorted(row["answers"], key=lambda a: a["part"])])
             of_word = np.split(counts[grams.at], np.cumsum([len(e) for e in grams.ends])[:-1])
             n = len(grams.place)
             score = np.log(of_word[0] / max(total, 1))
@@ -160,7 +183,7 @@ def _scores(batches: Iterator[pa.RecordBatch], order: int, alpha: float, min_cou
                 before = np.zeros(n)
                 before[end] = of_word[k - 1]
             score += np.log(alpha) * (np.minimum(order, grams.place + 1) - scored_by)
-            first = grams.words.first
+            first = grams.first
             n_words = np.diff(first)
             per_doc = np.array([score[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)]) if len(n_words) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(n_words), pa.array(per_doc)], names=["doc_id", "n_words", "score"])
