@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: name in an expression -> Spark SQL template
 FUNCTIONS = {
     "lower": "lower({})", "upper": "upper({})", "contains": "contains({})", "btrim": "btrim({})", "ltrim": "ltrim({})", "rtrim": "rtrim({})",
-    "concat": "concat({})", "octet_length": "octet_length({})", "json_extract": "get_json_object({})", "arrow_cast": "cast_as({})",
+    "concat": "concat({})", "octet_length": "octet_length({})", "json_extract": "get_json_object({})",
     "array_has": "array_contains({})", "array_contains": "array_contains({})", "array_contains_any": "arrays_overlap({})", "array_has_any": "arrays_overlap({})",
     "named_struct": "named_struct({})", "array": "array({})", "length": "length({})", "abs": "abs({})", "coalesce": "coalesce({})",
 }
@@ -154,7 +154,9 @@ def func(which: str, *args) -> Expr:
         return Expr(f"forall({parts[1]}, x -> array_contains({parts[0]}, x))")
     if key == "get_field":
         return Expr(f"{parts[0]}.{args[1]}")
-    if key not in FUNCTIONS or key == "arrow_cast":
+    if key == "arrow_cast":
+        return Expr.of(args[0]).cast(args[1].lower() if isinstance(args[1], str) else args[1])
+    if key not in FUNCTIONS:
         raise ValueError(f"unknown function {which}")
     return Expr(FUNCTIONS[key].format(", ".join(parts)))
 

@@ -7,6 +7,7 @@ that hold an updated or deleted row, and writes the inserted rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -28,6 +29,7 @@ class MergeInsert:
         self._update: str | None = None
         self._insert = False
         self._delete: str | None = None
+        self._timeout = 30.0
 
     def when_matched_update_all(self, where: str | Expr | None = None) -> MergeInsert:
         self._update = "TRUE" if where is None else where.to_sql() if isinstance(where, Expr) else where
@@ -41,6 +43,15 @@ class MergeInsert:
         self._delete = "TRUE" if where is None else where.to_sql() if isinstance(where, Expr) else where
         return self
 
+    def use_index(self, on: bool = True) -> MergeInsert:
+        """Kept for callers that choose; the join is planned by Catalyst either way."""
+        return self
+
+    def timeout(self, seconds: float) -> MergeInsert:
+        """Give up (TimeoutError) rather than try again after so many seconds of lost races."""
+        self._timeout = seconds
+        return self
+
     def _actions(self, m: Manifest, source: DataFrame, files=None) -> DataFrame:
         """(target, source, _file, _action) of every row of either side."""
         rows = self._table._scan(m, files, named=True)
@@ -73,8 +84,13 @@ class MergeInsert:
         if not known.groupBy(*[F.col(f"`{k}`") for k in self._on]).count().filter("count > 1").isEmpty():
             raise ValueError("rows of the source that share a key: which one stays is undefined")
         counts: dict[str, int] = {}
+        attempts, began = 0, time.monotonic()
 
         def change(m: Manifest) -> Manifest:
+            nonlocal attempts
+            if attempts and time.monotonic() - began > self._timeout:
+                raise TimeoutError(f"other writers were first {attempts} times")
+            attempts += 1
             held = {f.name: f for f in m.schema}
             if unknown := set(source.columns) - set(held):
                 raise ValueError(f"columns that the table doesn't have: {sorted(unknown)}")
@@ -106,4 +122,4 @@ class MergeInsert:
             return replace(m, files=(*stay, *files), next_row_id=next_row_id(m.next_row_id, files))
 
         version = table._commit(change, "merge").version
-        return Change(version, counts.get("insert", 0), counts.get("update", 0), counts.get("delete", 0))
+        return Change(version, counts.get("insert", 0), counts.get("update", 0), counts.get("delete", 0), attempts)

@@ -40,6 +40,34 @@ def declare(table, name: str, expression: str) -> int:
     return table._widen([T.StructField(name, kind, True)], None, "computed_column", lambda p: p | {"computed": [*p.get("computed", []), entry]})
 
 
+def declare_function(table, function, inputs: Sequence[str], outputs: Sequence[str]) -> int:
+    """Add columns that a registered function fills: one, or one for each field of its struct."""
+    fields = function.output.fields if isinstance(function.output, T.StructType) else [T.StructField(outputs[0] if outputs else "", function.output)]
+    if len(fields) != len(outputs):
+        raise ValueError(f"{function.name} has {len(fields)} outputs")
+    m = table.manifest()
+    if missing := set(inputs) - set(m.schema.fieldNames()):
+        raise ValueError(f"no columns {sorted(missing)}")
+    if hit := {c["name"] for c in m.properties.get("computed", [])} & set(inputs):
+        raise ValueError(f"computed columns can't read computed columns: {sorted(hit)}")
+    struct = isinstance(function.output, T.StructType)
+    made = [{"name": o, "function": function.name, "function_version": function.version, "names": function.names, "field": f.name if struct else None, "inputs": list(inputs)} for o, f in zip(outputs, fields, strict=True)]
+    return table._widen([T.StructField(o, f.dataType, True) for o, f in zip(outputs, fields, strict=True)], None, "computed_column", lambda p: p | {"computed": [*p.get("computed", []), *made]})
+
+
+def value_of(entry: dict):
+    """The Column of a computed column's declaration."""
+    if "expression" in entry:
+        return F.expr(entry["expression"])
+    from ..functions.registry import get_function
+
+    function = get_function(entry["function"], entry["function_version"])
+    if entry["names"]:
+        function = function.rename(**entry["names"])
+    out = function(*entry["inputs"])
+    return out if entry["field"] is None else out[entry["field"]]
+
+
 def refresh(table, columns: Sequence[str] | None = None):
     """Fill what is null, in the files that hold a null only; rows already computed stay, so it is idempotent.
 
@@ -55,7 +83,7 @@ def refresh(table, columns: Sequence[str] | None = None):
 
     def change(m: Manifest) -> Manifest:
         nonlocal count
-        fills = {c["name"]: F.expr(c["expression"]) for c in todo}
+        fills = {c["name"]: value_of(c) for c in todo}
         open_ = F.lit(False)
         for name, value in fills.items():
             open_ = open_ | (F.col(f"`{name}`").isNull() & value.isNotNull())

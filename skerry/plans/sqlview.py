@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FTS = re.compile(r"\bfts\s*\(\s*(?:'([^']+)'|\"([^\"]+)\"|([A-Za-z_]\w*))\s*,\s*'((?:[^'\\]|\\.|'')*)'\s*\)", re.IGNORECASE)
+_INSERT = re.compile(r"\s*INSERT\s+(INTO|OVERWRITE)\s+(?:TABLE\s+)?([A-Za-z_]\w*)\s+(.*)", re.IGNORECASE | re.DOTALL)
 _FTS_ANY = re.compile(r"\bfts\s*\(", re.IGNORECASE)
 
 
@@ -23,8 +24,20 @@ def fts_frame(table, query) -> DataFrame:
 
 
 def run(database, text: str, tables: dict) -> DataFrame:
-    """The SQL with every table of the database that it names, the given ones, and its fts() calls as views."""
+    """The SQL with every table of the database that it names, the given ones, and its fts() calls as views.
+
+    INSERT INTO and INSERT OVERWRITE write the query's rows to a table, and give one row with their number.
+    """
     spark = database.spark
+    if (insert := _INSERT.fullmatch(text)) is not None:
+        mode, name, rest = insert.groups()
+        target = tables.get(name, name)
+        target = database.open_table(target) if isinstance(target, str) else target
+        rows = run(database, rest, tables)
+        if len(rows.columns) != len(target.columns):
+            raise ValueError(f"{name} has {len(target.columns)} columns, the query {len(rows.columns)}")
+        done = target.add(rows.toDF(*target.columns), "append" if mode.upper() == "INTO" else "overwrite")
+        return spark.createDataFrame([(done.inserted,)], "inserted long")
     held = {n: (database.open_table(t) if isinstance(t, str) else t) for n, t in tables.items()}
     known = set(database.table_names(limit=None))
 

@@ -425,6 +425,43 @@ def computed_column(spark, sf_dir):
     return table.to_df().select("s_suppkey", "s_acctbal", "twice")
 
 
+@query("""
+SELECT c_custkey, c_acctbal, 'deleted' AS _change FROM customer WHERE c_nationkey = 4
+UNION ALL SELECT c_custkey, c_acctbal + 1, 'updated' FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT c_custkey + 1000000, c_acctbal, 'inserted' FROM customer WHERE c_nationkey = 9
+""")
+def change_feed(spark, sf_dir):
+    """What happened since a version, from the versions that rows carry."""
+    table = cloned(imported(spark, sf_dir, "customer"))
+    start = table.version
+    table.delete("c_nationkey = 4")
+    table.update(values_sql={"c_acctbal": "c_acctbal + 1"}, where="c_nationkey = 7")
+    table.add(table.to_df().filter("c_nationkey = 9").withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
+    return table.changes(start).select("c_custkey", "c_acctbal", "_change")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 2")
+def sql_insert(spark, sf_dir):
+    table = cloned(imported(spark, sf_dir, "region"))
+    database(spark).sql("INSERT INTO target SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 2", target=table, nation=imported(spark, sf_dir, "nation"))
+    return table.checkout_latest().to_df()
+
+
+@query("SELECT s_suppkey, upper(s_name) AS loud, length(s_name)::BIGINT AS size FROM supplier")
+def function_columns(spark, sf_dir):
+    """Two columns that one registered function fills."""
+    from .functions.registry import udf
+
+    @udf(returns="loud string, size long", name="describe_name")
+    def describe(name: str):
+        return {"loud": name.upper(), "size": len(name)}
+
+    table = cloned(imported(spark, sf_dir, "supplier"))
+    table.add_function_columns(describe, ["s_name"], ["loud", "size"])
+    table.refresh()
+    return table.to_df().select("s_suppkey", "loud", "size")
+
+
 @query("SELECT 'v1' AS which, count(*) AS n FROM nation UNION ALL SELECT 'gone', count(*) FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'tag', count(*) FROM nation UNION ALL SELECT 'back', count(*) FROM nation UNION ALL SELECT 'branch', count(*) + 1 FROM nation UNION ALL SELECT 'diff', count(*) + 1 FROM nation WHERE n_regionkey = 1")
 def versions_tags_branches(spark, sf_dir):
     table = cloned(imported(spark, sf_dir, "nation"))

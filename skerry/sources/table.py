@@ -36,6 +36,7 @@ class Change:
     inserted: int = 0
     updated: int = 0
     deleted: int = 0
+    attempts: int = 1
 
     @property
     def rows(self) -> int:
@@ -254,6 +255,17 @@ class Table:
 
         return Change(self._commit(change, "cherry_pick").version, **counts)
 
+    def changes(self, since: int, to: int | None = None) -> DataFrame:
+        """Rows that differ between two versions: their columns, row id and `_change` (inserted, updated, or deleted with the old row)."""
+        old, new = self.log.read(since), self.log.read(to)
+        names = [c for c in new.schema.fieldNames() if c in old.schema.fieldNames()]
+        now = self._scan(new).select(*[F.col(f"`{c}`") for c in names], *SYSTEM)
+        before = self._scan(old).select(*[F.col(f"`{c}`") for c in names], ROW_ID)
+        wrote = now.filter(F.col(UPDATED) > since).withColumn("_change", F.when(F.col(CREATED) > since, "inserted").otherwise("updated"))
+        gone = before.join(now.select(ROW_ID), ROW_ID, "left_anti").withColumn("_change", F.lit("deleted"))
+        out = [*[F.col(f"`{c}`") for c in names], ROW_ID, "_change"]
+        return wrote.select(*out).unionByName(gone.select(*out))
+
     # -- reading -------------------------------------------------------------------------------
 
     def _scan(self, m: Manifest, files: Sequence[DataFile] | None = None, named: bool = False) -> DataFrame:
@@ -560,6 +572,12 @@ class Table:
 
         return declare(self, name, expression)
 
+    def add_function_columns(self, function, inputs: Sequence[str], outputs: Sequence[str]) -> int:
+        """Declare columns that a registered Python function computes from others; a struct output fills one column a field."""
+        from ..plans.computed import declare_function
+
+        return declare_function(self, function, inputs, outputs)
+
     def refresh(self, columns: Sequence[str] | None = None) -> Change:
         """Fill the nulls of computed columns."""
         from ..plans.computed import refresh
@@ -641,6 +659,20 @@ class Table:
     def _index_file(self) -> str:
         return "_indices/catalog.json" if self.branch == MAIN else f"_branches/{self.branch}/indices.json"
 
+    def list_indices(self) -> list[dict]:
+        return [{"name": e["name"], "kind": e["kind"], "columns": [e["column"]]} for e in self.indices().values()]
+
+    def tokenize(self, text: str, column: str | None = None, index: str | None = None, **how) -> list[str]:
+        """The tokens of a text by the index of a name or column, or by the tokenizer described."""
+        from ..functions.text import Tokenizer
+
+        if not how:
+            fits = [e for e in self.indices().values() if e["kind"] == "fts" and (index in (None, e["name"])) and (column in (None, e["column"]))]
+            if len(fits) != 1:
+                raise ValueError(f"{len(fits)} inverted indices fit")
+            how = fits[0]["params"]
+        return Tokenizer(**how).of(self.spark, text)
+
     def index_stats(self, name: str) -> dict | None:
         from ..operators.index import stats
 

@@ -436,3 +436,52 @@ def test_empty_tables(db):
     assert table.count_rows() == 0 and table.to_df().collect() == [] and table.delete("true").deleted == 0 and table.update({"s": "x"}).updated == 0
     assert table.merge_insert("id").when_not_matched_insert_all().execute([{"id": 1, "s": "a"}]).inserted == 1
     assert np.array(table.to_pandas()["id"]).tolist() == [1]
+
+
+def test_changes_since_a_version(db):
+    table = people(db)
+    start = table.version
+    table.delete("id = 0")
+    table.update({"name": "Bo"}, where="id = 1")
+    table.add([{"id": 9, "name": "Eve", "age": 1}])
+    table.update({"name": "Eva"}, where="id = 9")
+    got = {(r["_change"], r.id, r.name) for r in table.changes(start).collect()}
+    assert got == {("deleted", 0, "Ann"), ("updated", 1, "Bo"), ("inserted", 9, "Eva")}
+    assert table.changes(table.version).count() == 0 and {r["_change"] for r in table.changes(start, start + 1).collect()} == {"deleted"}
+
+
+def test_function_columns(db):
+    from skerry.functions.registry import udf
+
+    @udf(returns="low long, high long", name="span_of")
+    def spread(x: int):
+        return {"low": x - 1, "high": x + 1}
+
+    table = people(db)
+    table.add_function_columns(spread.rename(low="least"), ["age"], ["under", "over"])
+    assert table.refresh().updated == 3 and table.refresh().updated == 0 and {(r.under, r.over) for r in table.to_df().collect()} == {(30, 32), (44, 46), (26, 28), (None, None)}
+    with pytest.raises(ValueError):
+        table.add_function_columns(spread, ["age"], ["one"])
+    with pytest.raises(ValueError):
+        table.drop_columns(["age"])
+
+
+def test_sql_insert_and_merge_extras(db):
+    people(db)
+    db.create_table("more", [{"a": 8, "b": "Hal", "c": 2}])
+    assert db.sql("INSERT INTO people SELECT * FROM more").first().inserted == 1 and db.open_table("people").count_rows() == 5
+    db.sql("insert overwrite table people select a, b, c from more")
+    assert db.open_table("people").count_rows() == 1
+    with pytest.raises(ValueError):
+        db.sql("INSERT INTO people SELECT a FROM more")
+    done = db.open_table("people").merge_insert("id").when_not_matched_insert_all().use_index(False).timeout(5).execute([{"id": 1, "name": "x", "age": 1}])
+    assert done.attempts == 1 and func("arrow_cast", col("age"), "Utf8").to_sql() == "CAST(age AS string)"
+
+
+def test_tokenize_by_index(db):
+    table = people(db)
+    table.create_index("name", "fts", stem=False)
+    assert table.tokenize("The Foxes") == ["foxes"] and table.tokenize("The Foxes", stem=True, remove_stop_words=False) == ["the", "fox"] and table.tokenize("A-b", "name") == ["b"]
+    assert table.list_indices() == [{"name": "name_idx", "kind": "fts", "columns": ["name"]}]
+    with pytest.raises(ValueError):
+        table.tokenize("x", "age")
