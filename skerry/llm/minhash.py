@@ -284,7 +284,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
     # What a star cannot show: buckets that still hold several components.
     labelled = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("parts")).filter("_lo < _hi")
+    of_members = (F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("_p1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("_p2"), F.count("*").alias("_n"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("parts"), *of_members).filter("_lo < _hi")
+    # buckets of the same members say the same: one of them stays
+    mixed = mixed.groupBy("_p1", "_p2", "_n").agg(F.min(F.struct("bucket", "parts")).alias("one")).select("one.*")
     rest = materialize(labelled.join(mixed.select("bucket", "parts"), "bucket").select("bucket", "rep", "component", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "mixed")
     sets = held.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(lambda it: _sets(it, shingle), "rep long, shingles binary")
     blocks = rest.join(sets, "rep").groupBy("bucket", "parts", "part").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("a"))
