@@ -8,12 +8,13 @@ is centred on the log-odds of its first bytes (which have a prior of their own):
 by their counts, unseen ones by their stem.  A drift is taken off, so clean text scores below 0.
 
 Score.  The scores of a text are scanned once for all maximal-scoring segments (Ruzzo and Tompa).
-Segment scores of clean text follow an extreme-value law: with the positive root lambda of
-E[exp(lambda s)] = 1 over clean tokens and K fitted on labelled clean texts that were kept out
-of the counts, a text of n tokens has a segment of score S by chance with E = K n exp(-lambda S).
-Segments with E below `e_value` are the toxic passages.  The text's -log10(E) of its best segment is
-mapped to a probability by a logistic curve fitted on the texts kept out of the counts (from a
-histogram of fixed size).
+Segment scores of clean text have an exponential tail, which is fitted on labelled clean texts that
+were kept out of the counts: a text of n tokens has E = K n exp(-lambda S) segments of score S or
+more by chance.  Segments with E below `e_value` are the toxic passages.  A text's evidence is that of
+its r best segments for the r that says most: the chance that a Poisson number of mean E, at the
+r-th best score, is r or more (so many scattered slurs count as much as one long tirade).
+-log10 of it is mapped to a probability by a logistic curve fitted on the texts kept out of the
+counts.  Tail and curve come from histograms of fixed size.
 
 Every labelled row that `usable` admits is used; nothing is sampled.
 
@@ -39,8 +40,10 @@ from . import textops as tx
 from .scratch import materialize
 
 TOKEN_SLOTS, STEM_SLOTS, STEM_BYTES = 1 << 18, 1 << 16, 4
-STRENGTH, DRIFT, LOWEST, HIGHEST = 4.0, 0.5, -4.0, 8.0
-BIN, BINS, ORIGIN = 0.25, 400, -20.0
+STRENGTH, DRIFT, LOWEST, HIGHEST = 4.0, 1.5, -4.0, 8.0
+BIN, BINS, ORIGIN = 0.25, 320, -60.0
+#: Segments of clean text in the fitted tail (one in so many tokens, so many at least), and the bins of their scores.
+TAIL_TOKENS, TAIL_LEAST, SCORE_BIN, SCORE_BINS = 500, 20, 1 / 64, 1 << 14
 
 
 def slots(buf: np.ndarray, doc_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tx.Words]:
@@ -83,6 +86,7 @@ class Model:
     stems: np.ndarray
     decay: float  # lambda
     factor: float  # K
+    floor: float  # the least score of the fitted tail
     slope: float
     offset: float
     e_value: float = 1e-3
@@ -91,17 +95,53 @@ class Model:
         own = self.tokens[token]
         return np.where(np.isnan(own), self.stems[stem], own)
 
-    def best(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Each document's best segment score, and its segments."""
-        segments = [maximal_segments(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        return np.array([max((s[2] for s in found), default=0.0) for found in segments]), segments
+    def segments(self, values: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int, float]]]:
+        """Each document's maximal segments."""
+        return [maximal_segments(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
+        """-log10 of the chance of a document's segments, by the number of best ones that says most."""
+        held = np.array([s[2] for s in segments if s[2] >= self.floor])
+        if not len(held):
+            return 0.0
+        held = -np.sort(-held)
+        return max(0.0, float(-poisson_tail(self.log_e(held, np.full(len(held), n)) * np.log(10)).min() / np.log(10)))
 
     def log_e(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 of the expected number of such segments in clean text."""
         return np.log10(self.factor * np.maximum(n, 1)) - self.decay * best / np.log(10)
 
-    def probability(self, log_e: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.offset - self.slope * log_e, -40, 40)))
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Of x = minus the evidence."""
+        return 1 / (1 + np.exp(-np.clip(self.offset - self.slope * x, -40, 40)))
+
+
+def poisson_tail(log_mean: np.ndarray) -> np.ndarray:
+    """Log of P(N >= r) for a Poisson N of mean exp(log_mean[r - 1]), r = 1, 2, ...; 0 where the mean is above r."""
+    r = np.arange(1, len(log_mean) + 1, dtype=np.float64)
+    mean = np.exp(np.minimum(log_mean, 50.0))
+    low = mean <= r
+    small = np.where(low, mean, 0.0)
+    term, series = np.ones(len(r)), np.ones(len(r))
+    for j in range(1, 1000):
+        term = term * small / (r + j)
+        series += term
+        if (term < 1e-12 * series).all():
+            break
+    out = r * log_mean - np.cumsum(np.log(r)) - small + np.log(series)
+    return np.where(low, np.minimum(out, 0.0), 0.0)
+
+
+def tail(counts: np.ndarray, tokens: int) -> tuple[float, float, float]:
+    """(lambda, K, floor) of clean segments' scores, counted in bins of SCORE_BIN, in so many tokens."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if above[0] < 2 or not tokens:
+        return 1.0, 1.0, 0.0
+    wanted = min(above[0], max(TAIL_LEAST, tokens // TAIL_TOKENS))
+    at = int(np.flatnonzero(above >= wanted)[-1])  # the highest floor that leaves enough
+    middle = (np.arange(at, len(counts)) - at + 0.5) * SCORE_BIN
+    decay = float(above[at] / (counts[at:] * middle).sum())
+    return decay, float(above[at] / tokens * np.exp(min(decay * at * SCORE_BIN, 500.0))), at * SCORE_BIN
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, center: np.ndarray | float = 0.0) -> np.ndarray:
@@ -110,20 +150,6 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, center: np.ndar
     return np.log(toxic + STRENGTH * share * tilt) - np.log(clean + STRENGTH * (1 - share) / tilt) - np.log(share / (1 - share))
 
 
-def root(values: np.ndarray, weights: np.ndarray) -> float:
-    """The positive lambda with sum(weights * exp(lambda * values)) = sum(weights); 1 if there is none below 20."""
-    weights = weights / weights.sum()
-    low, high = 1e-6, 1.0
-    while (weights * np.exp(high * values)).sum() < 1 and high < 20:
-        high *= 2
-    if high >= 20 or (weights * np.exp(low * values)).sum() >= 1:
-        return 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (weights * np.exp(mid * values)).sum() < 1 else (low, mid)
-    return low
-
-
 def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[float, float]:
     """Slope and offset of P(positive) = 1 / (1 + exp(-(offset - slope * x))) for counts at x, lightly ridged, by Newton's method."""
     beta = np.zeros(2)
@@ -158,13 +184,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at]), pa.array(stem_of[at])], names=["slot", "toxic", "clean", "stem"])
 
 
+def _clean_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(bin, n) of the segments of texts, and their tokens as bin -1."""
+    for batch in batches:
+        for _, _, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
+            token, stem, words = slots(buf, doc_bytes)
+            scores = np.array([s[2] for found in model.segments(model.values(token, stem), words.first) for s in found])
+            bins, n = np.unique(np.minimum(scores / SCORE_BIN, SCORE_BINS - 1).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(bins, -1)), pa.array(np.append(n, len(token)))], names=["bin", "n"])
+
+
 def _measure(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
             token, stem, words = slots(buf, doc_bytes)
-            best, _ = model.best(model.values(token, stem), words.first)
-            n = np.maximum(np.diff(words.first), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, stop - row), pa.array(best), pa.array(n)], names=["toxic", "best", "n"])
+            found = model.segments(model.values(token, stem), words.first)
+            says = np.array([model.evidence(f, n) for f, n in zip(found, np.diff(words.first), strict=True)], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, stop - row), pa.array(-says)], names=["toxic", "x"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
@@ -185,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_valu
     toxic, clean = (np.zeros(TOKEN_SLOTS + STEM_SLOTS) for _ in range(2))
     toxic[sums["slot"]], clean[sums["slot"]] = sums["toxic"], sums["clean"]
     n_toxic, n_clean = toxic[:TOKEN_SLOTS].sum(), clean[:TOKEN_SLOTS].sum()
-    blank = Model(np.full(TOKEN_SLOTS, np.nan), np.zeros(STEM_SLOTS), 1.0, 1.0, 0.0, 0.0, e_value)
+    blank = Model(np.full(TOKEN_SLOTS, np.nan), np.zeros(STEM_SLOTS), 1.0, 1.0, 0.0, 0.0, 0.0, e_value)
     if not n_toxic or not n_clean:
         kinds = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         share = kinds.get(1, 0) / max(1, sum(kinds.values()))
@@ -199,14 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_valu
     model = blank
     model.stems = np.clip(stem_odds, LOWEST, HIGHEST) - DRIFT
     model.tokens = np.where(toxic[:TOKEN_SLOTS] + clean[:TOKEN_SLOTS] > 0, np.clip(token_odds, LOWEST, HIGHEST) - DRIFT, np.nan)
-    known = np.isfinite(model.tokens) & (clean[:TOKEN_SLOTS] > 0)
-    model.decay = root(model.tokens[known], clean[:TOKEN_SLOTS][known]) if known.any() else 1.0
-
-    held = materialize(rows.filter("fold = 0").select("text", "toxic").mapInArrow(lambda it: _measure(it, model), "toxic int, best double, n long"), "calibration")
-    chance = held.filter("toxic = 0").agg(F.count("*").alias("n"), F.sum(F.col("n") * F.exp(-F.col("best") * model.decay)).alias("s")).first()
-    model.factor = float(chance.n / chance.s) if chance.n and chance.s else 1.0
-    log_e = F.log10(F.col("n") * F.lit(model.factor)) - F.col("best") * (model.decay / float(np.log(10)))
-    bins = held.select("toxic", F.least(F.greatest(F.floor((log_e - ORIGIN) / BIN), F.lit(0)), F.lit(BINS - 1)).alias("bin"))
+    held = rows.filter("fold = 0")
+    counted = held.filter("toxic = 0").select("text").mapInArrow(lambda it: _clean_scores(it, model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    scores = np.zeros(SCORE_BINS)
+    inside = counted["bin"] >= 0
+    scores[counted["bin"][inside]] = counted["n"][inside]
+    model.decay, model.factor, model.floor = tail(scores, int(counted["n"][~inside].sum()))
+    measured = materialize(held.select("text", "toxic").mapInArrow(lambda it: _measure(it, model), "toxic int, x double"), "calibration")
+    bins = measured.select("toxic", F.least(F.greatest(F.floor((F.col("x") - ORIGIN) / BIN), F.lit(0)), F.lit(BINS - 1)).alias("bin"))
     if bins.filter("toxic = 1").isEmpty() or bins.filter("toxic = 0").isEmpty():
         model.slope, model.offset = 1.0, -3.0
         return model
@@ -220,10 +256,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, names: list[str], p
     for batch in batches:
         for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "__text")):
             token, stem, words = slots(buf, doc_bytes)
-            best, segments = model.best(model.values(token, stem), words.first)
+            segments = model.segments(model.values(token, stem), words.first)
             n = np.diff(words.first)
-            score = np.maximum(best, 0.0)
-            p = model.probability(model.log_e(score, n))
+            p = model.probability(np.array([-model.evidence(found, k) for found, k in zip(segments, n, strict=True)], dtype=np.float64))
             passages = []
             for i, found in enumerate(segments):
                 rows = []

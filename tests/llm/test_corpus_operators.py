@@ -390,6 +390,22 @@ def test_maximal_segments():
         assert [s[:2] for s in toxicity.maximal_segments(v)] == [s[:2] for s in segments_by_definition(list(v))]
 
 
+def test_poisson_tail():
+    log_mean = np.log(np.array([0.01, 1.5, 2.9, 0.3, 40.0]))
+    for r, (got, m) in enumerate(zip(toxicity.poisson_tail(log_mean), np.exp(log_mean)), 1):
+        want = 1 - sum(math.exp(-m) * m**k / math.factorial(k) for k in range(r))
+        assert math.exp(got) == (pytest.approx(want, rel=1e-6) if m <= r else 1.0)
+
+
+def test_tail_of_clean_scores():
+    rng = np.random.default_rng(2)
+    scores = rng.exponential(1 / 1.3, 20_000)  # in 400,000 tokens: K = 0.05
+    counts = np.bincount((scores / toxicity.SCORE_BIN).astype(int), minlength=toxicity.SCORE_BINS)
+    decay, factor, floor = toxicity.tail(counts, 400_000)
+    assert decay == pytest.approx(1.3, rel=0.1) and factor == pytest.approx(0.05, rel=0.4) and (scores >= floor).sum() >= 800
+    assert toxicity.tail(np.zeros(toxicity.SCORE_BINS), 10) == (1.0, 1.0, 0.0)
+
+
 @pytest.fixture(scope="module")
 def abuse(spark):
     rng = np.random.default_rng(8)
