@@ -13,9 +13,12 @@ its occurrences (terms in order, at most `slop` other words between) and its idf
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +140,34 @@ def tokenized(rows: DataFrame, column: str, tokenizer: Tokenizer) -> DataFrame:
     return rows.select("_rowid", tokenizer.tokens(text).alias("tokens")).filter("tokens is not null")
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """All postings of (_rowid, tokens), with positions from 0: grouped within each row, nothing is shuffled."""
-    entry = lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
-    each = tokens.select("_rowid", F.size("tokens").alias("dl"), F.explode(F.transform(F.array_distinct("tokens"), entry)).alias("p"))
-    return each.select("_rowid", "p.term", F.size("p.positions").alias("tf"), "dl", "p.positions")
+def _grouped(batches: Iterator[pa.RecordBatch], terms: Sequence[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Group each row's tokens (those among the terms, if given) by term: one sort of a batch's tokens, whatever their number in a row."""
+    for batch in batches:
+        lists = batch.column(1)
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        if terms is not None:
+            some = np.flatnonzero(pa.compute.is_in(coded.dictionary, value_set=pa.array(terms, coded.dictionary.type)).to_numpy(zero_copy_only=False)[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
+            codes, row, place = codes[some], row[some], place[some]
+        order = np.lexsort((codes, row))
+        codes, row, place = codes[order], row[order], place[order]
+        new = np.ones(len(codes), dtype=bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+        heads = np.flatnonzero(new)
+        stops = np.append(heads, len(codes))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row[heads])), coded.dictionary.take(pa.array(codes[heads])), pa.array(np.diff(stops).astype(np.int32)), pa.array(lengths[row[heads]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(place.astype(np.int32)))],
+            names=["_rowid", "term", "tf", "dl", "positions"],
+        )
+
+
+def postings(tokens: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """The postings of (_rowid, tokens), all or of given terms, with positions from 0: grouped within each row, nothing is shuffled."""
+    return tokens.select("_rowid", "tokens").mapInArrow(lambda it: _grouped(it, terms), "_rowid long, term string, tf int, dl int, positions array<int>")
 
 
 class Source:
@@ -175,11 +201,7 @@ class TextSource(Source):
         self._corpus: tuple[int, float] | None = None
 
     def of_terms(self, terms: Sequence[str]) -> DataFrame:
-        wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-        some = self._tokens.withColumn("_t", F.array_intersect("tokens", wanted)).filter(F.size("_t") > 0)
-        entry = lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
-        each = some.select("_rowid", F.size("tokens").alias("dl"), F.explode(F.transform("_t", entry)).alias("p"))
-        return each.select("_rowid", "p.term", F.size("p.positions").alias("tf"), "dl", "p.positions")
+        return postings(self._tokens, list(terms))
 
     def corpus(self) -> tuple[int, float]:
         if self._corpus is None:

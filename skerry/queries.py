@@ -336,9 +336,8 @@ def fts_multi_match(spark, sf_dir):
 def _arms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A vector and a text result of up to 50 rows each, with vec_id = doc_id as row id."""
     near = vector.nearest(_read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "_rowid"), "embedding", VECTOR, k=50).select("_rowid", "_distance")
-    frame = _read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "_rowid")
-    text = fts.search_texts(frame, "the with", ["text"], Tokenizer(**PLAIN)).orderBy(F.col("_score").desc(), "_rowid").limit(50)
-    return near, text
+    text = _documents(spark, sf_dir).search("the with").limit(50).select(["doc_id"]).to_df()
+    return near, text.withColumnRenamed("doc_id", "_rowid")
 
 
 _ARMS = f"""

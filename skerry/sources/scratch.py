@@ -35,6 +35,9 @@ def imported(spark: SparkSession, sf_dir: str, name: str, like: str | None = Non
     key = f"{like or name}-{abs(hash(sf_dir)):x}"
     if not db.store.exists(f"{key}.tbl"):
         frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if len(frame.inputFiles()) < cores:  # a few small files would leave cores idle ever after
+            frame = frame.repartition(cores)
         db.create_table(key, make(frame) if make else frame)
     return db.open_table(key)
 
