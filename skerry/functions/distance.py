@@ -1,8 +1,9 @@
 """Vector distances as Column expressions.
 
-A literal query of up to UNROLL components becomes a balanced tree of arithmetic, which stays
-inside whole-stage code generation; longer ones and column against column use higher-order
-functions.  l2 is squared; cosine is 1 - cos, null for zero vectors; dot is 1 - dot product;
+They are for use inside other expressions, and for column against column: higher-order functions,
+which Spark interprets.  Searches use the Arrow kernel of operators.vector, which is faster by far
+(arithmetic unrolled to the dimension was slower still: its code is too long to compile).
+l2 is squared; cosine is 1 - cos, null for zero vectors; dot is 1 - dot product;
 hamming counts differing bits of packed bytes.
 """
 
@@ -13,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLL = 256
 METRICS = ("l2", "cosine", "dot", "hamming")
 
 
@@ -31,9 +31,6 @@ def _terms(v: Column, query: Sequence[float] | Column, f) -> Column:
     if isinstance(query, Column):
         return _fold(F.zip_with(v, query, lambda x, y: f(x.cast("double"), y.cast("double"))))
     q = [float(x) for x in query]
-    if len(q) <= UNROLL:
-        body = _sum([f(F.get(v, F.lit(i)).cast("double"), F.lit(x)) for i, x in enumerate(q)])
-        return F.when(F.size(v) == len(q), body)
     literal = F.array(*[F.lit(x) for x in q])
     return F.when(F.size(v) == len(q), _fold(F.zip_with(v, literal, lambda x, y: f(x.cast("double"), y))))
 
@@ -55,17 +52,15 @@ def cosine(v: Column, query) -> Column:
         size, own = norm(query), norm(v)
     else:
         q = [float(x) for x in query]
-        size = F.lit(sum(x * x for x in q) ** 0.5)
-        own = F.sqrt(_sum([F.get(v, F.lit(i)).cast("double") * F.get(v, F.lit(i)).cast("double") for i in range(len(q))])) if len(q) <= UNROLL else norm(v)
+        size, own = F.lit(sum(x * x for x in q) ** 0.5), norm(v)
     return F.when((own > 0) & (size > 0), 1 - dot_product(v, query) / (own * size))
 
 
 def hamming(v: Column, query) -> Column:
     """v and query: arrays of bytes as integers."""
     differ = lambda x, y: F.bit_count(x.cast("int").bitwiseXOR(y.cast("int")))
-    if isinstance(query, Column):
-        return F.aggregate(F.zip_with(v, query, differ), F.lit(0), lambda a, x: a + x).cast("double")
-    return F.when(F.size(v) == len(query), _sum([differ(F.get(v, F.lit(i)), F.lit(int(x))) for i, x in enumerate(query)])).cast("double")
+    other = query if isinstance(query, Column) else F.array(*[F.lit(int(x)) for x in query])
+    return F.when(F.size(v) == F.size(other), F.aggregate(F.zip_with(v, other, differ), F.lit(0), lambda a, x: a + x)).cast("double")
 
 
 def distance(v: Column, query, metric: str = "l2") -> Column:

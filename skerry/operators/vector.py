@@ -1,4 +1,4 @@
-"""Exact nearest rows: one query as a Column expression and TakeOrdered, many by an Arrow kernel.
+"""Exact nearest rows by Arrow kernels: one query as a column and TakeOrdered, many in one pass that keeps k each.
 
 Distances: l2 is squared; cosine is 1 - cos and rows or queries of length zero have none; dot is
 1 - dot product; hamming counts the differing bits of packed bytes.  Rows without a distance
@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,22 +68,35 @@ def field_of(schema: T.StructType, path: str) -> T.StructField:
     return f
 
 
-def values(column: str, kind: T.DataType) -> Column:
-    """The column as an array (packed bytes as an array of ints)."""
-    c = F.col(column)
-    if isinstance(kind, T.BinaryType):
-        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("int"))
-    return c
+def with_distance(frame: DataFrame, column: str, query: list, metric: str, low: float | None = None, high: float | None = None, name: str = "_distance") -> DataFrame:
+    """frame with the distance of each row; null where there is none or it isn't in low <= distance < high.
 
-
-def with_distance(frame: DataFrame, column: str, query: list, metric: str, name: str = "_distance") -> DataFrame:
-    """frame with the distance of each row, rows that have none left out."""
+    Only the vector column goes through Arrow, once: what has no distance is null here rather than
+    filtered, since a filter would be pushed down with a second evaluation.
+    """
     kind = field_of(frame.schema, column).dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
         d = D.late_interaction(F.col(column), query if is_many(query) else [query], metric)
-    else:
-        d = D.distance(values(column, kind), query, metric)
-    return frame.withColumn(name, d).filter(F.col(name).isNotNull() & ~F.isnan(name))
+        ok = F.col(name).isNotNull() & ~F.isnan(name)
+        ok = ok if low is None else ok & (F.col(name) >= F.lit(float(low)))
+        ok = ok if high is None else ok & (F.col(name) < F.lit(float(high)))
+        return frame.withColumn(name, d).withColumn(name, F.when(ok, F.col(name)))
+    if metric not in D.METRICS:
+        raise ValueError(f"metric is one of {D.METRICS}")
+    wanted = np.asarray([query], dtype=np.float64)
+
+    @F.arrow_udf("double")
+    def distance(v: pa.Array) -> pa.Array:
+        at, rows = matrix(v, wanted.shape[1])
+        out = np.full(len(v), np.nan)
+        out[at] = distances(metric, rows, wanted)[0]
+        if low is not None:
+            out[out < low] = np.nan
+        if high is not None:
+            out[out >= high] = np.nan
+        return pa.array(out, mask=np.isnan(out))
+
+    return frame.withColumn(name, distance(F.col(column)))
 
 
 def in_range(frame: DataFrame, low: float | None, high: float | None) -> DataFrame:
@@ -94,8 +107,8 @@ def in_range(frame: DataFrame, low: float | None, high: float | None) -> DataFra
 
 def nearest(frame: DataFrame, column: str, query: list, metric: str = "l2", k: int = K, offset: int = 0, low: float | None = None, high: float | None = None, tie: str = "_rowid") -> DataFrame:
     """The k rows after the first `offset` nearest ones, with _distance, nearest first."""
-    found = in_range(with_distance(frame, column, query, metric), low, high).orderBy("_distance", tie)
-    found = found.limit(k + offset)
+    found = with_distance(frame, column, query, metric, low, high).orderBy(F.col("_distance").asc_nulls_last(), tie)
+    found = found.limit(k + offset).filter(F.col("_distance").isNotNull())
     return found.offset(offset) if offset else found
 
 

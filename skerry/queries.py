@@ -87,7 +87,7 @@ def knn_hamming(spark, sf_dir):
     pack = lambda values: [sum((values[8 * b + i] > 0) << i for i in range(8)) for b in range(8)]
     bits = lambda b: F.concat(*[F.lpad(F.hex(sum((F.when(F.get("embedding", F.lit(8 * k + i)) > 0, 1 << i).otherwise(0) for i in range(8)), F.lit(0))), 2, "0") for k in range(b)])
     table = imported(spark, sf_dir, "embeddings", "bits", lambda df: df.select("vec_id", F.unhex(bits(8)).alias("bits")))
-    return vector.nearest(table.scan(), "bits", pack(VECTOR), "hamming").select("vec_id", "_distance")
+    return vector.nearest(table.scan(), "bits", pack(VECTOR), "hamming", tie="vec_id").select("vec_id", "_distance")
 
 
 @query(f"SELECT vec_id, round(d, 6) AS _distance FROM (SELECT vec_id, {_L2} AS d FROM embeddings) WHERE d >= 20 AND d < 26 ORDER BY d, vec_id LIMIT 50")
