@@ -49,15 +49,16 @@ class Tokenizer:
 
     def tokens(self, text: Column) -> Column:
         """array<string> of a text, null for null.  Terms keep their order; removed ones leave no gap."""
-        out = {"simple": lambda: F.split(text, r"[^\p{L}\p{M}\p{N}]+"), "whitespace": lambda: F.split(text, r"\s+"), "raw": lambda: F.array(text), "ngram": lambda: self._grams(text)}[self.base_tokenizer]()
-        longest = self.max_token_length
-        out = F.filter(out, lambda t: (F.length(t) > 0) & (F.length(t) <= longest) if longest else F.length(t) > 0)
-        if self.lower_case:
-            out = F.transform(out, F.lower)
-        if self.ascii_folding:
-            out = F.transform(out, fold_ascii)
-        if self.stop_words:
-            out = F.filter(out, lambda t: ~t.isin(list(self.stop_words)))
+        # case and marks are folded on the whole text, inside generated code; one pass over the tokens drops the rest
+        folded = F.lower(text) if self.lower_case else text
+        folded = fold_ascii(folded) if self.ascii_folding else folded
+        out = {"simple": lambda: F.split(folded, r"[^\p{L}\p{M}\p{N}]+"), "whitespace": lambda: F.split(folded, r"\s+"), "raw": lambda: F.array(folded), "ngram": lambda: self._grams(folded)}[self.base_tokenizer]()
+        longest, stop = self.max_token_length, list(self.stop_words)
+        if longest or stop:
+            fits = lambda t: F.length(t).between(1, longest) if longest else F.length(t) > 0
+            out = F.filter(out, lambda t: fits(t) & ~t.isin(stop) if stop else fits(t))
+        else:
+            out = F.array_remove(out, "")
         out = F.when(text.isNotNull(), out)
         return stem_all(out) if self.stem else out
 

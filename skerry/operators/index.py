@@ -117,11 +117,11 @@ def _write_postings(tokens: DataFrame, path: str) -> None:
 
 def _build_fts(table, column: str, m, params: dict, rows: DataFrame | None = None) -> dict:
     tokenizer = Tokenizer(**params)
-    tokens = fts.tokenized(table._scan(m) if rows is None else rows, column, tokenizer)
+    rows = table._scan(m) if rows is None else rows
     path = _folder(table)
-    _write_postings(tokens, path)
-    size = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("s")).first()
-    return {"paths": [path], "texts": size.n, "tokens": size.s}
+    _write_postings(fts.tokenized(rows, column, tokenizer), path)
+    size = table.spark.read.parquet(path).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("s")).first()
+    return {"paths": [path], "texts": rows.filter(F.col(column).isNotNull()).count(), "tokens": size.s}
 
 
 def fts_sources(table, indexed_only: bool = False) -> dict[str, fts.Source]:
