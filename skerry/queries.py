@@ -623,6 +623,19 @@ def join_as_of(spark, sf_dir):
     return as_of(orders, events, left_on="at", right_on="ts", left_by="o_custkey", right_by="user_id", order="event_id").select("o_orderkey", "event_id")
 
 
+@query("""
+SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS due FROM orders)
+ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) e ON o_custkey = e.user_id AND due >= e.ts
+""")
+def join_as_of_all(spark, sf_dir):
+    """join_as_of over every order: its own SQL keeps only customers below 100."""
+    from .operators.joins import as_of
+
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 9500 DAY")).alias("at"))
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return as_of(orders, events, left_on="at", right_on="ts", left_by="o_custkey", right_by="user_id", order="event_id").select("o_orderkey", "event_id")
+
+
 @query("SELECT o_orderkey, l_linenumber, l_orderkey FROM orders JOIN lineitem ON l_partkey = o_custkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 3 DAY")
 def join_range(spark, sf_dir):
     from .operators.joins import within
