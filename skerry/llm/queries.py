@@ -62,6 +62,37 @@ FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) d LEFT JOIN
 """
 
 
+def op8_lm_scoring_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_lm_scoring with two words of context: the SQL of that query counts bigrams only."""
+    from pyspark.sql import functions as F
+
+    from .lm_scoring import backoff_scores
+
+    scored = backoff_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+OP8_TRIGRAM_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, row_no
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row_no FROM documents)
+), placed AS (SELECT *, lag(w, 1) OVER before AS v, lag(w, 2) OVER before AS u FROM words WINDOW before AS (PARTITION BY row_no ORDER BY i)),
+one AS (SELECT w, count(*)::DOUBLE AS n FROM words GROUP BY w),
+two AS (SELECT v, w, count(*)::DOUBLE AS n FROM placed WHERE i > 1 GROUP BY v, w),
+three AS (SELECT u, v, w, count(*)::DOUBLE AS n FROM placed WHERE i > 2 GROUP BY u, v, w),
+scored AS (
+  SELECT p.row_no, CASE
+    WHEN three.n >= 2 THEN ln(three.n / pair.n)
+    WHEN two.n >= 2 THEN ln(two.n / context.n) + CASE WHEN p.i > 2 THEN ln(0.4) ELSE 0 END
+    ELSE ln(one.n / (SELECT count(*) FROM words)) + least(p.i - 1, 2) * ln(0.4) END AS s
+  FROM placed p JOIN one ON p.w = one.w LEFT JOIN one AS context ON p.v = context.w LEFT JOIN two ON p.v = two.v AND p.w = two.w
+  LEFT JOIN two AS pair ON p.u = pair.v AND p.v = pair.w LEFT JOIN three ON p.u = three.u AND p.v = three.v AND p.w = three.w
+), summed AS (SELECT row_no, count(*) AS n_words, sum(s) AS score FROM scored GROUP BY row_no)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score
+FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) d LEFT JOIN summed USING (row_no)
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -162,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_lm_scoring": op8_lm_scoring,
+    "op8_lm_scoring_trigram": op8_lm_scoring_trigram,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
@@ -171,4 +203,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op3_exact_topk": OP3_SQL,
     "op8_lm_scoring": OP8_SQL,
+    "op8_lm_scoring_trigram": OP8_TRIGRAM_SQL,
 }

@@ -2,8 +2,11 @@
 
 from datetime import datetime, timedelta
 
+from skerry.llm import queries as corpus
 from skerry.queries import QUERIES
 
+from .oracle import check
+
 
 def test_as_of_query_takes_every_order(spark, tmp_path):
     at = lambda d: datetime(2020, 1, 1) + timedelta(days=d)
@@ -17,3 +20,14 @@ def test_as_of_query_takes_every_order(spark, tmp_path):
 
     want = {(o, last(user, day + timedelta(days=9500))) for o, user, day in orders}
     assert {tuple(r) for r in QUERIES["join_as_of_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_scores_see_two_words_back(spark, sf, tmp_path):
+    """Two texts of the same bigrams, one made of trigrams that recur: only more than one word of context tells them apart."""
+    known, shuffled = "a b c b d b a", "a b d b c b a"
+    rows = [(0, known), (1, known), (2, known), (3, shuffled)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda name: {r.doc_id: r.score for r in corpus.QUERIES[name](spark, str(tmp_path)).collect()}
+    two, three = scores("op8_lm_scoring"), scores("op8_lm_scoring_trigram")
+    assert two[0] == two[3] and three[0] > three[3]
+    check(corpus.QUERIES["op8_lm_scoring_trigram"](spark, sf), corpus.ORACLE_SQL["op8_lm_scoring_trigram"], sf)
