@@ -28,6 +28,7 @@ class Query:
         self._columns: list[Column] | None = None
         self._named: set[str] = set()
         self._limit: int | None = None
+        self._all = False
         self._offset = 0
         self._order: list[Column] = []
         self._row_id = self._row_address = False
@@ -78,7 +79,12 @@ class Query:
     def limit(self, n: int | None) -> Query:
         if n is not None and n < 0:
             raise ValueError("limit must not be negative")
-        self._limit = n
+        self._limit, self._all = n, False
+        return self
+
+    def all_matches(self) -> Query:
+        """Every match of a text search, best first."""
+        self._limit, self._all = None, True
         return self
 
     def offset(self, n: int) -> Query:
@@ -289,6 +295,8 @@ class Query:
     def to_df(self) -> DataFrame:
         many = self._vector is not None and vector.is_many(self._vector) and not self._is_nested()
         keep = self._want + self._offset
+        if self._all and (self._vector is not None or self._fts is None):
+            raise ValueError("all_matches is for text searches")
         if self._vector is not None and self._fts is not None:
             if many:
                 raise ValueError("hybrid search takes one vector")
@@ -300,7 +308,7 @@ class Query:
             if self._reranker:
                 found = rerank.checked(self._reranker.rerank_vector(self._text or "", found))
         elif self._fts is not None:
-            found = self._by_text(keep)
+            found = self._by_text(None).orderBy(F.col("_score").desc(), ROW_ID) if self._all else self._by_text(keep)
             if self._postfilter:
                 found = self._filtered(found)
             if self._reranker:
@@ -316,7 +324,7 @@ class Query:
             found = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r").between(self._offset + 1, keep)).orderBy("query_index", "_r").drop("_r")
         else:
             searched = self._vector is not None or self._fts is not None
-            if searched or self._limit is not None:
+            if not self._all and (searched or self._limit is not None):
                 found = found.limit(keep if searched else self._limit + self._offset)
             if self._offset:
                 found = found.offset(self._offset)

@@ -268,19 +268,19 @@ def fts_match_any(spark, sf_dir):
 @query(f"WITH {_bm25('the', 'and', 'with')} SELECT doc_id, round(sum(s), 6) AS _score FROM parts GROUP BY doc_id HAVING count(*) = 3")
 def fts_match_all(spark, sf_dir):
     q = fts.MatchQuery("the and with", "text", operator="AND")
-    return _scored(_documents(spark, sf_dir).search(q).limit(10_000_000).to_df())
+    return _scored(_documents(spark, sf_dir).search(q).all_matches().to_df())
 
 
 @query(f"WITH {_bm25('the', 'with', 'that')}, t AS (SELECT doc_id, sum(s) FILTER (term = 'the') AS a, sum(s) FILTER (term = 'with') AS b, sum(s) FILTER (term = 'that') AS c FROM parts GROUP BY doc_id) SELECT doc_id, round(a + coalesce(b, 0), 6) AS _score FROM t WHERE a IS NOT NULL AND c IS NULL")
 def fts_boolean(spark, sf_dir):
     q = fts.BooleanQuery([(fts.MUST, fts.MatchQuery("the", "text")), (fts.SHOULD, fts.MatchQuery("with", "text")), (fts.MUST_NOT, fts.MatchQuery("that", "text"))])
-    return _scored(_documents(spark, sf_dir).search(q).limit(10_000_000).to_df())
+    return _scored(_documents(spark, sf_dir).search(q).all_matches().to_df())
 
 
 @query(f"WITH {_bm25('the', 'with')}, t AS (SELECT doc_id, sum(s) FILTER (term = 'the') AS a, sum(s) FILTER (term = 'with') AS b FROM parts GROUP BY doc_id) SELECT doc_id, round(a - 0.5 * coalesce(b, 0), 6) AS _score FROM t WHERE a IS NOT NULL")
 def fts_boost(spark, sf_dir):
     q = fts.BoostQuery(fts.MatchQuery("the", "text"), fts.MatchQuery("with", "text"), 0.5)
-    return _scored(_documents(spark, sf_dir).search(q).limit(10_000_000).to_df())
+    return _scored(_documents(spark, sf_dir).search(q).all_matches().to_df())
 
 
 @query(f"""
@@ -289,7 +289,7 @@ found AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'in'
 SELECT doc_id, round(idf * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS _score FROM found, idf, n WHERE tf > 0
 """)
 def fts_phrase(spark, sf_dir):
-    return _scored(_documents(spark, sf_dir).search(fts.PhraseQuery("in the", "text")).limit(10_000_000).to_df())
+    return _scored(_documents(spark, sf_dir).search(fts.PhraseQuery("in the", "text")).all_matches().to_df())
 
 
 @query(f"""
@@ -300,7 +300,7 @@ df AS (SELECT term, count(*)::DOUBLE AS df FROM hits GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS _score FROM hits JOIN df USING (term), n GROUP BY doc_id
 """)
 def fts_fuzzy(spark, sf_dir):
-    return _scored(_documents(spark, sf_dir).search(fts.MatchQuery("thentoin", "text", fuzziness=None)).limit(10_000_000).to_df())
+    return _scored(_documents(spark, sf_dir).search(fts.MatchQuery("thentoin", "text", fuzziness=None)).all_matches().to_df())
 
 
 @query(f"WITH {_bm25('the')} SELECT doc_id, round(sum(s), 6) AS _score FROM parts JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 15")

@@ -2,8 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from skerry.llm import queries as corpus
 from skerry.queries import QUERIES
+from skerry.sources.catalog import connect
 
 from .oracle import check
 
@@ -31,3 +34,20 @@ def test_scores_see_two_words_back(spark, sf, tmp_path):
     two, three = scores("op8_lm_scoring"), scores("op8_lm_scoring_trigram")
     assert two[0] == two[3] and three[0] > three[3]
     check(corpus.QUERIES["op8_lm_scoring_trigram"](spark, sf), corpus.ORACLE_SQL["op8_lm_scoring_trigram"], sf)
+
+
+@pytest.mark.parametrize("name", ["fts_match_all", "fts_boolean", "fts_boost", "fts_phrase", "fts_fuzzy"])
+def test_text_queries_have_no_limit(spark, sf, name):
+    frame = QUERIES[name](spark, sf)
+    assert "10000000" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_matches(spark, tmp_path):
+    table = connect(spark, str(tmp_path)).create_table("texts", [{"id": i, "text": "red " * (i % 7 + 1) + "fox"} for i in range(40)])
+    table.create_index("text", "fts")
+    got = table.search("red").all_matches().to_list()
+    assert len(got) == 40 and [r["_score"] for r in got] == sorted((r["_score"] for r in got), reverse=True)
+    assert len(table.search("red").all_matches().where("id < 25").offset(5).to_list()) == 20
+    assert len(table.search("red").all_matches().limit(3).to_list()) == 3
+    with pytest.raises(ValueError):
+        table.query().all_matches().to_df()
