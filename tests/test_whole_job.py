@@ -2,9 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skerry.llm import queries as corpus
+from skerry.llm import url_filter
 from skerry.queries import QUERIES
 from skerry.sources.catalog import connect
 
@@ -51,3 +54,15 @@ def test_all_matches(spark, tmp_path):
     assert len(table.search("red").all_matches().limit(3).to_list()) == 3
     with pytest.raises(ValueError):
         table.query().all_matches().to_df()
+
+
+@pytest.mark.parametrize("lacking", ["held-out", "counted"])
+def test_url_model_when_one_part_lacks_a_class(spark, lacking):
+    urls = [(f"good{i}.example/articles/{i}", 1) for i in range(60)] + [(f"cheap{i}pills.test/buy?now={i}", 0) for i in range(60)]
+    table = spark.createDataFrame(urls, "__url string, kind int").withColumn("fold", F.pmod(F.xxhash64("__url"), F.lit(4)))
+    kept = table.filter("kind = 0 OR fold > 0" if lacking == "held-out" else "kind = 0 OR fold = 0").drop("fold")
+    model = url_filter.fit(kept, order=3)
+    fresh = [b"good99.example/articles/999", b"cheap88pills.test/buy?now=999"]
+    d = model.difference(np.frombuffer(b"".join(fresh), dtype=np.uint8), np.cumsum([0, *map(len, fresh)]))
+    assert d[0] > model.threshold() == 0 > d[1]
+    assert not url_filter.fit(kept.filter("kind = 0"), order=3).total.any()
