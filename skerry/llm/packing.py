@@ -1,9 +1,9 @@
 """Packing by optimal length buckets.
 
 1. The global histogram of lengths (words of whole texts) is one aggregation.  Lengths up to
-   `exact` are their own class; longer ones round up to 1/1024 of their power of two, so the
-   histogram has at most exact + 1024 * 50 rows however large the corpus is, and may come to the
-   driver.
+   `exact` are their own class; longer ones share one of the 1024 of their power of two, which
+   stands for its greatest length, so the histogram has at most exact + 1024 * 50 rows however
+   large the corpus is, and may come to the driver.
 2. A dynamic program over the classes picks at most `buckets` boundaries that minimise the
    padding (sum of boundary minus length).  Its cost satisfies the quadrangle inequality, so
    each layer is solved by divide and conquer in O(n log n).
@@ -86,9 +86,10 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact: i
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
     counted = word_count(F.col("text").cast("string")) if length is None else length
     measured = docs.select(*kept, counted.cast("long").alias("length"), F.xxhash64(F.col("doc_id"), F.xxhash64("text")).alias("__h"))
-    histogram = docs.select(length_class(counted.cast("long"), exact).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()
+    known = docs.select(counted.cast("long").alias("l"))
+    histogram = known.groupBy(length_class(F.col("l"), exact).alias("c")).agg(F.max("l").alias("top"), F.count("*").alias("n")).collect()
     histogram.sort()
-    bounds = boundaries(np.array([r.c for r in histogram], dtype=np.int64), np.array([r.n for r in histogram]), buckets)
+    bounds = boundaries(np.array([r.top for r in histogram], dtype=np.int64), np.array([r.n for r in histogram]), buckets)
     cells = max(1, -(-sum(r.n for r in histogram) // cell_rows))
 
     bucket = F.coalesce(*[F.when(F.col("length") <= b, i) for i, b in enumerate(bounds)], F.lit(max(len(bounds) - 1, 0)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.llm import queries as corpus
-from skerry.llm import url_filter
+from skerry.llm import packing, url_filter
 from skerry.queries import QUERIES
 from skerry.sources.catalog import connect
 
@@ -66,3 +66,11 @@ def test_url_model_when_one_part_lacks_a_class(spark, lacking):
     d = model.difference(np.frombuffer(b"".join(fresh), dtype=np.uint8), np.cumsum([0, *map(len, fresh)]))
     assert d[0] > model.threshold() == 0 > d[1]
     assert not url_filter.fit(kept.filter("kind = 0"), order=3).total.any()
+
+
+def test_boundaries_of_long_texts_occur(spark):
+    lengths = [3, 4097, 5001, 5002, 70_001, 70_003]
+    docs = spark.createDataFrame([(i, "", n) for i, n in enumerate(lengths)], "doc_id long, text string, n long")
+    got = packing.pack(docs, buckets=4, length=F.col("n")).collect()
+    assert sorted(r.length for r in got) == lengths
+    assert {r.bucket_length for r in got} == {3, 4097, 5002, 70_003}
