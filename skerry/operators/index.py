@@ -14,6 +14,7 @@ and joined in, rows deleted or updated since are left out.
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from . import fts, vector
 VECTOR_KINDS = {"ivf_flat": "flat", "ivf_sq": "sq", "ivf_pq": "pq", "ivf_rq": "rq", "ivf_hnsw_flat": "flat", "ivf_hnsw_sq": "sq", "ivf_hnsw_pq": "pq"}
 SCALAR_KINDS = ("btree", "bitmap", "label_list", "fm")
 PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, MAX_PARTITIONS, SPREAD_START = 20, 256, 50, 1 << 20, 4096, 256
+#: The part of the partitions that a search probes by default, PROBES at least: recall falls with the share, not with the number.
+PROBE_SHARE = 0.75
 #: Commits after which every row that an index covers still is as it was.
 _APPENDS = ("append", "compact", "primary_key", "field_metadata", "add_columns", "drop_columns", "computed_column", "view", "stream")
 _POOL = ThreadPoolExecutor(4)
@@ -324,7 +327,8 @@ def probe(table, held: tuple[str, dict], queries: list, keep: int, probes: tuple
     asked = np.asarray(queries, dtype=np.float64)
     scaled = _unit(asked) if metric == "cosine" else asked
     ranked = np.argsort(vector.distances("l2" if metric != "dot" else "dot", coder.centers, scaled), axis=1, kind="stable")
-    least, most = probes or (PROBES, PROBES)
+    usual = max(PROBES, math.ceil(PROBE_SHARE * len(coder.centers)))
+    least, most = probes or (usual, usual)
     live, fresh = _since(table, entry)
     wide = keep * refine
     inner = bounds if coder.kind == "flat" and refine == 1 else (None, None)

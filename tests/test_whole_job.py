@@ -74,3 +74,15 @@ def test_boundaries_of_long_texts_occur(spark):
     got = packing.pack(docs, buckets=4, length=F.col("n")).collect()
     assert sorted(r.length for r in got) == lengths
     assert {r.bucket_length for r in got} == {3, 4097, 5002, 70_003}
+
+
+def test_recall_of_default_probes(spark, tmp_path):
+    """More partitions (63) than the fixed number once probed."""
+    rows = np.random.default_rng(2).normal(size=(4000, 32)).astype(np.float32)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id long, vector array<float>")
+    table = connect(spark, str(tmp_path)).create_table("many", frame)
+    table.create_index("vector", "ivf_flat")
+    asked = rows[:20].astype(float) + 0.1
+    got = {(r["query_index"], r["id"]) for r in table.search(asked.tolist()).limit(10).to_list()}
+    want = {(i, int(j)) for i, q in enumerate(asked) for j in np.argsort(((rows - q) ** 2).sum(axis=1))[:10]}
+    assert len(got & want) >= 0.9 * len(want)
