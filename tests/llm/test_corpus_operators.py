@@ -187,16 +187,13 @@ def vectors(spark):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
     rows += [(i, rows[4][1]) for i in range(150, 190)]  # ties
     rows += [(190, None), (191, [float("nan")] * 8), (192, [1.0, None] + [0.0] * 6), (193, [float("inf")] * 8), (194, [0.0] * 8), (195, []), (None, [1.0] * 8), (200, [1.0] * 8)]
-    rows += [rows[7], rows[7]]
+    rows += [rows[7], rows[7], (7, rows[60][1]), (20, rows[61][1]), (40, rows[40][1])]  # ids on several rows
     return rows, spark.createDataFrame(rows, VECTORS)
 
 
 def sound(rows, zero):
-    found = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v)):
-            found.setdefault(i, np.array(v, dtype=np.float64))
-    return found
+    """(id, vector) of each row that takes part."""
+    return [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
 
 
 @pytest.mark.parametrize("sizes", [(4096, 512), (32, 5)])
@@ -204,18 +201,48 @@ def test_exact_top_k(spark, vectors, sizes):
     from pyspark.sql import functions as F
 
     rows, table = vectors
-    held = {i: np.floor(64 * v) for i, v in sound(rows, zero=True).items()}
+    held = [(i, np.floor(64 * v)) for i, v in sound(rows, zero=True)]
     want = []
-    for q in (i for i in held if i % 20 == 0):
-        best = sorted(((-int(held[q] @ v), i) for i, v in held.items() if i != q))[:20]
-        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    for n, (q, x) in enumerate(held):
+        if q % 20 == 0:
+            best = sorted((-int(x @ v), i) for m, (i, v) in enumerate(held) if m != n)[:20]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     got = exact_topk.top_k(table, F.col("vec_id") % 20 == 0, candidates=sizes[0], queries=sizes[1]).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_exact_top_k_of_large_numbers():
-    q, c = np.array([[2.0**31, 1.0]]), np.array([[2.0**30, 3.0]])
-    assert sum(exact_topk.partial_scores(q, c, 2)).tolist() == [[2**61 + 3]]
+def test_exact_top_k_keeps_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.5]), (1, [2.0, 3.0]), (1, [1.0, 4.0]), (2, [0.5, 0.0])]
+    got = exact_topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 128 + 32 * 192), (0, 2, 1, 64 * 64 + 32 * 256), (0, 3, 2, 64 * 32)]
+    assert [r.vec_id for r in got].count(1) == 2
+    assert exact_topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).count() == 0
+
+
+def test_the_cutoff_spares_products():
+    """What reaches the cutoff is exact, and most pairs are never completed."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(4000, 64))
+    rows = np.floor(64 * rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    block, formed = exact_topk.Block(rows), 0
+    for q in rows[:40]:
+        score = rows @ q
+        cutoff = float(np.sort(score)[-21])
+        at, got, n = block.reach(q, cutoff, 4)
+        assert sorted(at) == sorted(np.flatnonzero(score >= cutoff)) and (got == score[at]).all()
+        formed += n
+    assert formed < 0.65 * 40 * len(rows) * 4
+    assert block.reach(rows[0], 1e6, 4)[2] == 0
+
+
+def test_exact_top_k_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [2.0**25, 1 / 64]), (1, [2.0**24, 3 / 64]), (2, [-(2.0**24), 3 / 64])]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.score for r in got] == [2**61 + 3, 3 - 2**61]
 
 
 def test_nearest(spark, vectors):
@@ -223,26 +250,37 @@ def test_nearest(spark, vectors):
 
     rows, table = vectors
     held = sound(rows, zero=False)
-    found = defaultdict(list)
-    for r in ann.nearest(table, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
-        found[r.query_id].append((r.score, r.vec_id))
-    hits = total = 0
-    for q in (i for i in held if i % 10 == 0):
-        best = sorted((float(np.sqrt(((held[q] - v) ** 2).sum())), i) for i, v in held.items() if i != q)[:10]
-        assert len(found[q]) == 10 and found[q] == sorted(found[q])
-        assert all(s == pytest.approx(float(np.linalg.norm(held[q] - held[i]))) for s, i in found[q])
-        hits, total = hits + len({i for _, i in best} & {i for _, i in found[q]}), total + 10
-    assert hits / total >= 0.9
+    found = Counter()
+    for r in ann.nearest(table, F.col("vec_id") % 10 == 0).collect():
+        found[r.query_id, r.rank, r.vec_id, round(r.score, 9)] += 1
+    want = Counter()
+    for n, (q, x) in enumerate(held):
+        if q % 10 == 0:
+            best = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for m, (i, v) in enumerate(held) if m != n)[:10]
+            want.update((q, r, i, round(s, 9)) for r, (s, i) in enumerate(best, 1))
+    assert sum(found.values()) == sum(want.values())
+    assert sum((found & want).values()) / sum(want.values()) >= 0.9
     few = table.filter("vec_id in (1, 2, 3)")
     assert ann.nearest(few, F.col("vec_id") == 1).count() == 2
     assert ann.nearest(table.filter("false"), F.col("vec_id") == 1).count() == 0
 
 
+def test_the_forest_examines_few_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(4096, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    forest, hits, examined = ann.Forest(rows), 0, 0
+    for i, at in enumerate(forest.candidates(rows[:50], ann.SHARE, ann.EXAMINED, 11)):
+        best = np.argsort(((rows - rows[i]) ** 2).sum(axis=1))[1:11]
+        hits, examined = hits + len(set(best) & set(at)), examined + len(at)
+    assert hits >= 0.9 * 500 and examined < 0.1 * 50 * len(rows)
+
+
 def test_recall_on_the_embeddings(spark, sf):
     from pyspark.sql import functions as F
 
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    held = sound([(r.vec_id, r.embedding) for r in table.collect()], zero=False)
+    held = dict(sound([(r.vec_id, r.embedding) for r in table.collect()], zero=False))
     ids = np.array(sorted(held))
     matrix = np.stack([held[i] for i in ids])
     found = defaultdict(set)
