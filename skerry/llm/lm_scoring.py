@@ -1,53 +1,97 @@
 """Language-model scores by stupid backoff: corpus counts joined back to every document's n-grams.
 
-A word is scored by count(n-gram) / count(its context) for the longest n-gram up to `order` that
-the corpus holds `min_count` times or more, times `alpha` for each order given up; a single word
-by count / all words.  The logarithms are summed per document.
+A document is scored by the other documents: c(g) is how often all rows but its own hold the n-gram
+g.  A word has c(n-gram) / c(its context) for the longest n-gram up to `order` that some other row
+holds, times `alpha` for each order given up; a single word has c(word), 1 at least, over the number
+of the others' words.  The logarithms are summed per document.  No count is cut off: an n-gram
+counts from its first occurrence elsewhere on, and leaving the own row out is what makes a text of
+its own back off.
 
-The exploded n-grams are more than the corpus itself, so they travel packed:
+The relations are exploded n-grams (batch, n-gram, count) and the count table (n-gram, count), both
+dealt by hash; they are kept in columns of many n-grams a row, since one row an n-gram costs several
+times the limits of a cluster that holds the text.
 
 1. Documents are packed into batches of about `batch_bytes` of whole texts, written once.
-2. Each batch's distinct n-grams of all orders (64-bit hashes, with their counts in the batch) go to hash
-   partitions of the count table.  A frequent n-gram is one entry a batch, whatever its share of
-   the corpus; the number of partitions follows the corpus, so each stays small.
-3. A partition sums the entries to its part of the count table and joins it to them: each batch
-   gets the corpus counts of its n-grams back, in its own order.
-4. A batch's counts are joined to its texts, the words are scored, and the logarithms summed.
+2. Orders are counted in rounds: 1 and 2, then 3, then the rest.  An n-gram that another row holds
+   has a prefix and a suffix that it holds too, so a round explodes only n-grams whose parts of the
+   round before were found; none that could count is left out.
+3. Each batch's distinct n-grams (64-bit hashes, with their counts in the batch) go to hash
+   partitions.  A frequent n-gram is one entry a batch, whatever its share of the corpus, and
+   the number of partitions follows the corpus, so each stays small.
+4. A partition sums the entries to its part of the count table and joins the table to them: each
+   batch gets back what all others hold of its n-grams, in its own order.
+5. The counts are joined to the batch's texts.  Words that no longer n-gram can improve are
+   scored and summed per document; what the next round needs of the rest is written.
 
 Everything gathered covers all documents: no sample, no cap on the vocabulary.
 
 Nulls and edge cases: a null, empty or wordless text has n_words 0, score 0 and no per_word
-(null); its doc_id may be null.  Repeated rows count, and are returned, as often as they occur.
-An empty table gives an empty result; extra columns are ignored.
+(null); its doc_id may be null.  Repeated rows count, and are returned, as often as they occur, and
+each is another document to the other.  An empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .scratch import materialize
+from .scratch import drop, written
 
-ORDER, ALPHA, MIN_COUNT, BATCH_BYTES, PARTITION_BYTES, RUN_BYTES = 2, 0.4, 2, 4 << 20, 4 << 20, 1 << 19
+ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 4 << 20, 16 << 20, 48 << 20, 1 << 19
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(data: bytes | np.ndarray) -> bytes:
+    """Compressed, after the length."""
+    data = bytes(data)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return _ZSTD.decompress(data[8:], size, asbytes=True) if size else b""
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes: the zero bytes of small numbers lie together and pack to almost nothing."""
+    return squeezed(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their steps."""
+    return packed(np.diff(keys, prepend=np.zeros(1, dtype=np.uint64)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def rounds(order: int) -> list[list[int]]:
+    """Orders that are counted together."""
+    return [some for r in ([1, 2], [3], range(4, order + 1)) if (some := [k for k in r if k <= order])]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     ids: list[int | None] = []
     sizes: list[int] = []
     parts: list[bytes] = []
-    n_words = held = 0
-    press = zstandard.ZstdCompressor(level=1)
+    n_words = held = made = 0
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
 
     def batch_row() -> pa.RecordBatch:
-        text = press.compress(b"".join(parts))
-        values = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([text], pa.binary()), pa.array([n_words], pa.int64()), pa.array([held], pa.int64())]
+        values = [pa.array([task << 32 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeezed(b"".join(parts))], pa.binary()), pa.array([n_words], pa.int64()), pa.array([held], pa.int64())]
         return pa.RecordBatch.from_arrays(values, names=["batch", "ids", "sizes", "text", "n_words", "n_bytes"])
 
     for batch in batches:
@@ -60,79 +104,85 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
             held += len(buf)
             if held >= limit:
                 yield batch_row()
-                ids, sizes, parts, n_words, held = [], [], [], 0, 0
+                ids, sizes, parts, n_words, held, made = [], [], [], 0, 0, made + 1
     if ids:
         yield batch_row()
 
 
+def following(seen: np.ndarray, place: np.ndarray, low: int, k: int) -> np.ndarray:
+    """Ends of the k-grams that may be held elsewhere, given the ends of those of order `low` that are."""
+    end = np.flatnonzero(seen & (place >= k - 1))
+    for back in range(1, k - low + 1):
+        end = end[seen[end - back]]
+    return end
+
+
 class _Grams:
-    """The n-grams of a batch: each document's first word, for each order the words they end at, and their hashes.
+    """The n-grams of a batch that a round counts: each document's first word, for each order the words they end at, and their hashes.
 
     Texts are hashed by runs of whole documents, so that only the hashes of a batch are held at once.
     """
 
-    def __init__(self, text: bytes, sizes: list[int], order: int) -> None:
-        buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), dtype=np.uint8)
+    def __init__(self, text: bytes, sizes: list[int], orders: list[int], state: dict | None) -> None:
+        buf = np.frombuffer(unsqueezed(text), dtype=np.uint8)
         doc_bytes = np.concatenate(([0], np.cumsum(np.asarray(sizes, dtype=np.int64))))
         firsts, places = [np.zeros(1, dtype=np.int64)], []
-        ends: list[list[np.ndarray]] = [[] for _ in range(order)]
-        hashes: list[list[np.ndarray]] = [[] for _ in range(order)]
+        ends: list[list[np.ndarray]] = [[] for _ in orders]
+        hashes: list[list[np.ndarray]] = [[] for _ in orders]
+        seen = None if state is None else np.unpackbits(np.frombuffer(unsqueezed(state["seen"]), dtype=np.uint8)).astype(bool)
         row = n = 0
         while row < len(sizes):
             stop = max(row + 1, int(np.searchsorted(doc_bytes, doc_bytes[row] + RUN_BYTES, side="right")) - 1)
             words = tx.Words(buf[doc_bytes[row] : doc_bytes[stop]], doc_bytes[row : stop + 1] - doc_bytes[row])
             place = np.arange(len(words.starts)) - words.first[:-1][words.doc_of_word()]
             prefix = tx.sums(words.hashes)
-            for k in range(order):
-                end = np.flatnonzero(place >= k)
-                ends[k].append(end + n)
-                hashes[k].append(tx.span_hash(prefix, end - k, end + 1))
+            for i, k in enumerate(orders):
+                end = np.flatnonzero(place >= k - 1) if seen is None else following(seen[n : n + len(place)], place, orders[0] - 1, k)
+                ends[i].append(end + n)
+                hashes[i].append(tx.span_hash(prefix, end - k + 1, end + 1))
             firsts.append(words.first[1:] + n)
             places.append(place)
             row, n = stop, n + len(place)
         whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         self.first, self.place, self.ends = whole(firsts), whole(places), [whole(e) for e in ends]
+        self.seen = None if seen is None else seen[:n]
         self.keys, self.at, self.counts = np.unique(np.concatenate([whole(h).astype(np.uint64) for h in hashes]), return_inverse=True, return_counts=True)
 
-    def dealt(self, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the keys by partition, and each partition's first place in it."""
-        part = (self.keys % np.uint64(partitions)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(partitions + 1))
-
-
-def packed(values: np.ndarray) -> bytes:
-    """64-bit numbers as compressed byte planes: the zero bytes of small numbers lie together and pack to almost nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
+    def dealt(self, partitions: int) -> np.ndarray:
+        """Each partition's first place in the keys: a partition is a range of hashes."""
+        bounds = np.array([(p << 64) // partitions for p in range(1, partitions)], dtype=np.uint64)
+        return np.concatenate(([0], np.searchsorted(self.keys, bounds), [len(self.keys)]))
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by their steps."""
-    return packed(np.diff(keys, prepend=np.zeros(1, dtype=np.uint64)))
+    def elsewhere(self, others: np.ndarray) -> list[np.ndarray]:
+        """For each order and n-gram what all other rows hold of it; others: what other batches hold of the keys."""
+        stops = np.cumsum([len(e) for e in self.ends])
+        rest = (others + self.counts)[self.at].astype(np.int64) - 1
+        several = np.flatnonzero(self.counts[self.at] > 1)  # elsewhere an n-gram of the batch is its document's only one
+        if len(several):
+            doc = np.searchsorted(self.first, np.concatenate(self.ends)[several], side="right") - 1
+            order = np.lexsort((doc, self.at[several]))
+            pair = np.stack((self.at[several], doc))[:, order]
+            head = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)))
+            own = np.diff(np.append(head, len(order)))
+            rest[several[order]] += 1 - np.repeat(own, own)
+        return np.split(rest, stops[:-1])
 
 
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
 
 
-def _entries(batches: Iterator[pa.RecordBatch], order: int, partitions: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], orders: list[int], partitions: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
-            grams = _Grams(row["text"], row["sizes"], order)
-            to, first = grams.dealt(partitions)
-            keys, counts = grams.keys[to], grams.counts[to]
+        for row in _rows(batch):
+            grams = _Grams(row["text"], row["sizes"], orders, row.get("state"))
+            first = grams.dealt(partitions)
             full = np.flatnonzero(np.diff(first))
             for at in range(0, len(full), 64):
                 some = full[at : at + 64]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array([row["batch"]] * len(some)), pa.array([packed_keys(keys[first[p] : first[p + 1]]) for p in some], pa.binary()), pa.array([packed(counts[first[p] : first[p + 1]]) for p in some], pa.binary())],
-                    names=["part", "batch", "keys", "counts"],
-                )
+                cut = lambda values, pack: pa.array([pack(values[first[p] : first[p + 1]]) for p in some], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([row["batch"]] * len(some), pa.int64()), cut(grams.keys, packed_keys), cut(grams.counts, packed)], names=["part", "batch", "keys", "counts"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,62 +194,100 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops = np.cumsum([len(k) for k in entries])
         _, at = np.unique(np.concatenate(entries), return_inverse=True)
         del entries
-        table = np.bincount(at, weights=np.concatenate([unpacked(c) for _, _, c in held])).astype(np.uint64)
-        total = np.split(table[at], stops[:-1])
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held]), pa.array([part] * len(held), pa.int64()), pa.array([packed(t) for t in total], pa.binary())], names=["batch", "part", "totals"])
+        counts = np.concatenate([unpacked(c) for _, _, c in held]).astype(np.int64)
+        table = np.zeros(int(at.max(initial=-1)) + 1, dtype=np.int64)
+        np.add.at(table, at, counts)
+        others = np.split(table[at] - counts, stops[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int64()), pa.array([packed(t) if t.any() else None for t in others], pa.binary()), pa.array([len(t) for t in others], pa.int64())], names=["batch", "part", "others", "n"])
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            p, name, keys, counts = (batch.column(c)[i].as_py() for c in range(4))
-            if p != part:
+        for row in _rows(batch):
+            if row["part"] != part:
                 if held:
                     yield answer()
-                part, held = p, []
-            held.append((name, keys, counts))
+                part, held = row["part"], []
+            held.append((row["batch"], row["keys"], row["counts"]))
     if held:
         yield answer()
 
 
-def _scores(batches: Iterator[pa.RecordBatch], order: int, alpha: float, min_count: int, partitions: int, total: int) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], orders: list[int], order: int, alpha: float, total: int) -> Iterator[pa.RecordBatch]:
+    """One round for whole batches: (batch, sums, state) with state null when no word is left."""
+    for batch in batches:
+        for row in _rows(batch):
+            state = row.get("state")
+            grams = _Grams(row["text"], row["sizes"], orders, state)
+            answers = sorted(row["answers"] or [], key=lambda a: a["part"])
+            others = np.concatenate([np.zeros(0, dtype=np.int64), *[np.zeros(a["n"], dtype=np.int64) if a["others"] is None else unpacked(a["others"]).astype(np.int64) for a in answers]])
+            found = grams.elsewhere(others)
+            n, place, low = len(grams.place), grams.place, orders[0] - 1
+            n_words = np.diff(grams.first)
+            doc = np.repeat(np.arange(len(n_words)), n_words)
+            count, score, level = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+            if state is None:
+                sums, is_open = np.zeros(len(n_words)), np.ones(n, dtype=bool)
+                rest = np.maximum(total - n_words, 1)[doc]
+            else:
+                sums = np.frombuffer(state["sums"], dtype=np.float64).copy()
+                count[grams.seen] = unpacked(state["counts"])
+                left = following(grams.seen, place, low, orders[0])
+                is_open = np.zeros(n, dtype=bool)
+                is_open[left] = True
+                score[left], level[left] = np.log(count[left] / unpacked(state["contexts"]).astype(np.float64)), low
+            context = np.zeros(0)
+            for k, end, c in zip(orders, grams.ends, found, strict=True):
+                context, count = count, np.zeros(n)
+                count[end] = c
+                if k == 1:
+                    score, level = np.log(np.maximum(count, 1) / rest), np.ones(n, dtype=np.int64)
+                else:
+                    hit = end[c > 0]
+                    score[hit], level[hit] = np.log(count[hit] / context[hit - 1]), k
+            top = orders[-1]
+            seen = count > 0
+            left = following(seen, place, top, top + 1) if top < order else np.zeros(0, dtype=np.int64)
+            closed = is_open.copy()
+            closed[left] = False
+            score += np.log(alpha) * (np.minimum(order, place + 1) - level)
+            sums += np.bincount(doc[closed], weights=score[closed], minlength=len(n_words))
+            new = {"words": packed(n_words), "sums": sums.tobytes(), "seen": squeezed(np.packbits(seen).tobytes()), "counts": packed(count[seen]), "contexts": packed(context[left - 1] if len(left) else np.zeros(0))}
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), pa.array([new], STATE)], names=["batch", "state"])
+
+
+STATE = pa.struct([("words", pa.binary()), ("sums", pa.binary()), ("seen", pa.binary()), ("counts", pa.binary()), ("contexts", pa.binary())])
+_STATE = "struct<words: binary, sums: binary, seen: binary, counts: binary, contexts: binary>"
+
+
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
-            grams = _Grams(row["text"], row["sizes"], order)
-            to, _ = grams.dealt(partitions)
-            counts = np.zeros(len(grams.keys))
-            if row["answers"]:
-                counts[to] = np.concatenate([unpacked(a["totals"]) for a in sorted(row["answers"], key=lambda a: a["part"])])
-            of_word = np.split(counts[grams.at], np.cumsum([len(e) for e in grams.ends])[:-1])
-            n = len(grams.place)
-            score = np.log(of_word[0] / max(total, 1))
-            scored_by = np.ones(n, dtype=np.int64)
-            before = of_word[0]
-            for k in range(2, order + 1):
-                end = grams.ends[k - 1]
-                context = before[end - 1]  # count of the (k - 1)-gram that ends one word earlier
-                found = of_word[k - 1] >= min_count
-                score[end[found]] = np.log(of_word[k - 1][found] / context[found])
-                scored_by[end[found]] = k
-                before = np.zeros(n)
-                before[end] = of_word[k - 1]
-            score += np.log(alpha) * (np.minimum(order, grams.place + 1) - scored_by)
-            first = grams.first
-            n_words = np.diff(first)
-            per_doc = np.array([score[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)]) if len(n_words) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(n_words), pa.array(per_doc)], names=["doc_id", "n_words", "score"])
-
-
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, batch_bytes: int = BATCH_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """(doc_id, n_words, score, per_word) for each row of docs(doc_id, text), counted over all of them."""
-    if order < 1 or min_count < 1:
-        raise ValueError("order and min_count must be at least 1")
+        for row in _rows(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(unpacked(row["words"]).astype(np.int64)), pa.array(np.frombuffer(row["sums"], dtype=np.float64))], names=["doc_id", "n_words", "score"])
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes: int = BATCH_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """(doc_id, n_words, score, per_word) for each row of docs(doc_id, text), by all other rows."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = materialize(source.mapInArrow(lambda it: _pack(it, batch_bytes), "batch string, ids array<long>, sizes array<long>, text binary, n_words long, n_bytes long"), "batches")
-    size = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
-    partitions, total = max(64, size["bytes"] // partition_bytes), size["words"]
-    entries = packed.select("batch", "sizes", "text").mapInArrow(lambda it: _entries(it, order, partitions), "part long, batch string, keys binary, counts binary")
-    answers = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_joined, "batch string, part long, totals binary")
-    back = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    whole = packed.select("batch", "ids", "sizes", "text").join(back.hint("merge"), "batch", "left")
-    scored = whole.mapInArrow(lambda it: _scores(it, order, alpha, min_count, partitions, total), "doc_id long, n_words long, score double")
+    texts, _ = written(source.mapInArrow(lambda it: _pack(it, batch_bytes), "batch long, ids array<long>, sizes array<long>, text binary, n_words long, n_bytes long"), "batches")
+    size = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    partitions, total = max(64, -(-size["bytes"] // partition_bytes)), size["words"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES))
+    state, path = None, None
+    for orders in rounds(order):
+        known = texts.select("batch", "sizes", "text")
+        dealt = known.repartition(tasks, "batch")
+        if state is not None:
+            known = dealt = dealt.join(state.repartition(tasks, "batch").hint("merge"), "batch")
+        entries = known.mapInArrow(lambda it, o=orders: _entries(it, o, partitions), "part long, batch long, keys binary, counts binary")
+        answers = entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_joined, "batch long, part long, others binary, n long")
+        back = answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "others", "n")).alias("answers"))
+        whole = dealt.join(back.hint("merge"), "batch", "left")
+        new, folder = written(whole.mapInArrow(lambda it, o=orders: _scores(it, o, order, alpha, total), f"batch long, state {_STATE}"), "states")
+        if path is not None:
+            drop(spark, path)
+        state, path = new, folder
+    sums = state.select("batch", "state.words", "state.sums")
+    scored = texts.select("batch", "ids").join(sums.hint("merge"), "batch").mapInArrow(lambda it: _per_document(it), "doc_id long, n_words long, score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -46,50 +46,21 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
 
 
+#: Stupid backoff of order 5; r is what the other rows hold of an n-gram.
 OP8_SQL = r"""
-WITH words AS (
-  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, row_no
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row_no FROM documents)
-), placed AS (SELECT *, lag(w) OVER (PARTITION BY row_no ORDER BY i) AS before FROM words),
-one AS (SELECT w, count(*)::DOUBLE AS n FROM words GROUP BY w),
-two AS (SELECT before, w, count(*)::DOUBLE AS n FROM placed WHERE i > 1 GROUP BY before, w),
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+ends AS (SELECT row_no, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
+grams AS (SELECT row_no, i, k, array_to_string(list_slice(w, i - k + 1, i), ' ') AS g FROM ends, (SELECT unnest(range(1, 6)) AS k) WHERE k <= i),
+own AS (SELECT row_no, k, g, count(*) AS o FROM grams GROUP BY row_no, k, g),
+total AS (SELECT k, g, sum(o) AS c FROM own GROUP BY k, g),
+rest AS (SELECT row_no, i, k, (c - o)::DOUBLE AS r FROM grams JOIN own USING (row_no, k, g) JOIN total USING (k, g)),
+best AS (SELECT row_no, i, max(k) AS k FROM rest WHERE r > 0 OR k = 1 GROUP BY row_no, i),
 scored AS (
-  SELECT p.row_no, CASE WHEN two.n >= 2 THEN ln(two.n / context.n) ELSE ln(one.n / (SELECT count(*) FROM words)) + CASE WHEN p.i > 1 THEN ln(0.4) ELSE 0 END END AS s
-  FROM placed p JOIN one ON p.w = one.w LEFT JOIN one AS context ON p.before = context.w LEFT JOIN two ON p.before = two.before AND p.w = two.w
-), summed AS (SELECT row_no, count(*) AS n_words, sum(s) AS score FROM scored GROUP BY row_no)
-SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score
-FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) d LEFT JOIN summed USING (row_no)
-"""
-
-
-def op8_lm_scoring_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_lm_scoring with two words of context: the SQL of that query counts bigrams only."""
-    from pyspark.sql import functions as F
-
-    from .lm_scoring import backoff_scores
-
-    scored = backoff_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
-    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
-
-
-OP8_TRIGRAM_SQL = r"""
-WITH words AS (
-  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, row_no
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row_no FROM documents)
-), placed AS (SELECT *, lag(w, 1) OVER before AS v, lag(w, 2) OVER before AS u FROM words WINDOW before AS (PARTITION BY row_no ORDER BY i)),
-one AS (SELECT w, count(*)::DOUBLE AS n FROM words GROUP BY w),
-two AS (SELECT v, w, count(*)::DOUBLE AS n FROM placed WHERE i > 1 GROUP BY v, w),
-three AS (SELECT u, v, w, count(*)::DOUBLE AS n FROM placed WHERE i > 2 GROUP BY u, v, w),
-scored AS (
-  SELECT p.row_no, CASE
-    WHEN three.n >= 2 THEN ln(three.n / pair.n)
-    WHEN two.n >= 2 THEN ln(two.n / context.n) + CASE WHEN p.i > 2 THEN ln(0.4) ELSE 0 END
-    ELSE ln(one.n / (SELECT count(*) FROM words)) + least(p.i - 1, 2) * ln(0.4) END AS s
-  FROM placed p JOIN one ON p.w = one.w LEFT JOIN one AS context ON p.v = context.w LEFT JOIN two ON p.v = two.v AND p.w = two.w
-  LEFT JOIN two AS pair ON p.u = pair.v AND p.v = pair.w LEFT JOIN three ON p.u = three.u AND p.v = three.v AND p.w = three.w
-), summed AS (SELECT row_no, count(*) AS n_words, sum(s) AS score FROM scored GROUP BY row_no)
-SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score
-FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) d LEFT JOIN summed USING (row_no)
+  SELECT b.row_no, (least(b.i, 5) - b.k) * ln(0.4) + CASE WHEN b.k = 1 THEN ln(greatest(g.r, 1) / greatest((SELECT sum(len(w)) FROM texts) - len(t.w), 1)) ELSE ln(g.r / context.r) END AS s
+  FROM best b JOIN texts t USING (row_no) JOIN rest g ON g.row_no = b.row_no AND g.i = b.i AND g.k = b.k
+  LEFT JOIN rest context ON context.row_no = b.row_no AND context.i = b.i - 1 AND context.k = b.k - 1
+), summed AS (SELECT row_no, sum(s) AS score FROM scored GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score FROM texts LEFT JOIN summed USING (row_no)
 """
 
 
@@ -193,7 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_lm_scoring": op8_lm_scoring,
-    "op8_lm_scoring_trigram": op8_lm_scoring_trigram,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
@@ -203,5 +173,4 @@ ORACLE_SQL: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op3_exact_topk": OP3_SQL,
     "op8_lm_scoring": OP8_SQL,
-    "op8_lm_scoring_trigram": OP8_TRIGRAM_SQL,
 }

@@ -6,6 +6,7 @@ lost executor costs a re-read, not a recomputation, and no block lives on one ma
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,10 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; where it is unset (tests on one machine) a temporary folder is set."""
+    """The session's `spark.checkpoint.dir`.
+
+    Where it is unset a session on one machine gets a temporary folder; a cluster, whose machines
+    would not share that folder, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="skerry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,14 +33,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skerry-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back with the same columns."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back with the same columns, and its folder."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, and let Spark delete the shuffles behind it: it does so when their plans are collected as garbage."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    spark._jvm.System.gc()

@@ -485,20 +485,20 @@ def test_toxicity_without_labels(spark, abuse, none):
 # -- 8 language-model scores ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_backoff_scores(docs, corpus, order):
-    counts = Counter(tuple(w[i : i + k]) for w in (words(r[1]) for r in corpus) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    grams = lambda w: Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    counts = sum((grams(words(r[1])) for r in corpus), Counter())
     total = sum(n for g, n in counts.items() if len(g) == 1)
 
     def log_score(w):
-        out = 0.0
+        out, own = 0.0, grams(w)
+        rest = lambda g: counts[g] - own[g]
         for i in range(len(w)):
             top = min(order, i + 1)
-            for k in range(top, 0, -1):
-                g = tuple(w[i - k + 1 : i + 1])
-                if k == 1 or counts[g] >= 2:
-                    out += (top - k) * math.log(0.4) + math.log(counts[g] / (counts[g[:-1]] if k > 1 else total))
-                    break
+            k = next(k for k in range(top, 0, -1) if k == 1 or rest(tuple(w[i - k + 1 : i + 1])))
+            g = tuple(w[i - k + 1 : i + 1])
+            out += (top - k) * math.log(0.4) + math.log(rest(g) / rest(g[:-1]) if k > 1 else max(rest(g), 1) / max(total - len(w), 1))
         return out
 
     want = sorted(((-1 if r[0] is None else r[0], len(words(r[1]))), log_score(words(r[1]))) for r in corpus)
