@@ -20,7 +20,7 @@ times the limits of a cluster that holds the text.
    the number of partitions follows the corpus, so each stays small.
 4. A partition sums the entries to its part of the count table and joins the table to them: each
    batch gets back what all others hold of its n-grams, in its own order.
-5. The counts are joined to the batch's texts.  Words that no longer n-gram can improve are
+5. The counts are joined to the batch's texts (bucketed tables, so only counts travel).  Words that no longer n-gram can improve are
    scored and summed per document; what the next round needs of the rest is written.
 
 Everything gathered covers all documents: no sample, no cap on the vocabulary.
@@ -34,6 +34,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .scratch import drop, written
+from .scratch import drop, new_folder, release, written
 
 ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 4 << 20, 16 << 20, 48 << 20, 1 << 19
 _ZSTD = pa.Codec("zstd", compression_level=3)
@@ -264,30 +265,60 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(unpacked(row["words"]).astype(np.int64)), pa.array(np.frombuffer(row["sums"], dtype=np.float64))], names=["doc_id", "n_words", "score"])
 
 
+class _Bucketed:
+    """A table in the shared folder, bucketed by batch, so that joins by batch move no text."""
+
+    def __init__(self, df: DataFrame, name: str, buckets: int) -> None:
+        self.spark = df.sparkSession
+        self.path = new_folder(self.spark, name)
+        self.table = self.path.rsplit("/", 1)[1].replace("-", "_")
+        df.write.bucketBy(buckets, "batch").option("path", self.path).format("parquet").saveAsTable(self.table)
+
+    def frame(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.table}")
+        drop(self.spark, self.path)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    order: int
+    alpha: float
+    total: int
+    partitions: int
+    tasks: int
+
+    def round(self, texts: DataFrame, state: DataFrame | None, orders: list[int]) -> _Bucketed:
+        """The state after the round of these orders, of the texts and the state before it."""
+        known = texts.select("batch", "sizes", "text")
+        if state is not None:
+            known = known.join(state.hint("merge"), "batch")
+        entries = known.mapInArrow(lambda it: _entries(it, orders, self.partitions), "part long, batch long, keys binary, counts binary")
+        answers = entries.repartition(self.tasks, "part").sortWithinPartitions("part").mapInArrow(lambda it: _joined(it), "batch long, part long, others binary, n long")
+        back = answers.repartition(self.tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "others", "n")).alias("answers"))
+        whole = known.join(back.hint("merge"), "batch", "left")
+        return _Bucketed(whole.mapInArrow(lambda it: _scores(it, orders, self.order, self.alpha, self.total), f"batch long, state {_STATE}"), "states", self.tasks)
+
+
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes: int = BATCH_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(doc_id, n_words, score, per_word) for each row of docs(doc_id, text), by all other rows."""
     if order < 1:
         raise ValueError("order must be at least 1")
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts, _ = written(source.mapInArrow(lambda it: _pack(it, batch_bytes), "batch long, ids array<long>, sizes array<long>, text binary, n_words long, n_bytes long"), "batches")
+    texts, path = written(source.mapInArrow(lambda it: _pack(it, batch_bytes), "batch long, ids array<long>, sizes array<long>, text binary, n_words long, n_bytes long"), "batches")
     size = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
-    partitions, total = max(64, -(-size["bytes"] // partition_bytes)), size["words"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES))
-    state, path = None, None
+    plan = _Plan(order, alpha, size["words"], max(64, -(-size["bytes"] // partition_bytes)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES)))
+    texts = _Bucketed(texts.select("batch", "ids", "sizes", "text").repartition(plan.tasks, "batch"), "texts", plan.tasks)
+    drop(spark, path)
+    state = None
     for orders in rounds(order):
-        known = texts.select("batch", "sizes", "text")
-        dealt = known.repartition(tasks, "batch")
-        if state is not None:
-            known = dealt = dealt.join(state.repartition(tasks, "batch").hint("merge"), "batch")
-        entries = known.mapInArrow(lambda it, o=orders: _entries(it, o, partitions), "part long, batch long, keys binary, counts binary")
-        answers = entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_joined, "batch long, part long, others binary, n long")
-        back = answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "others", "n")).alias("answers"))
-        whole = dealt.join(back.hint("merge"), "batch", "left")
-        new, folder = written(whole.mapInArrow(lambda it, o=orders: _scores(it, o, order, alpha, total), f"batch long, state {_STATE}"), "states")
-        if path is not None:
-            drop(spark, path)
-        state, path = new, folder
-    sums = state.select("batch", "state.words", "state.sums")
-    scored = texts.select("batch", "ids").join(sums.hint("merge"), "batch").mapInArrow(lambda it: _per_document(it), "doc_id long, n_words long, score double")
+        before, state = state, plan.round(texts.frame(), None if state is None else state.frame(), orders)
+        if before is not None:
+            before.drop()
+        release(spark)
+    sums = state.frame().select("batch", "state.words", "state.sums")
+    scored = texts.frame().select("batch", "ids").join(sums.hint("merge"), "batch").mapInArrow(lambda it: _per_document(it), "doc_id long, n_words long, score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

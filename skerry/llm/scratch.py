@@ -46,8 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more, and let Spark delete the shuffles behind it: it does so when their plans are collected as garbage."""
+    """Delete a table that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are gone: it does so when they are collected as garbage."""
     gc.collect()
     spark._jvm.System.gc()
