@@ -13,7 +13,7 @@ its occurrences (terms in order, at most `slop` other words between) and its idf
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -188,9 +188,9 @@ class Source:
 
 
 def _nearest_terms(vocabulary: DataFrame, term: str, edits: int, prefix: int, limit: int) -> list[str]:
-    close = vocabulary.filter(F.col("term").startswith(term[:prefix])).filter(F.length("term").between(len(term) - edits, len(term) + edits))
+    close = vocabulary.select("term").filter(F.col("term").startswith(term[:prefix])).filter(F.length("term").between(len(term) - edits, len(term) + edits))
     d = F.levenshtein(F.col("term"), F.lit(term), edits)
-    return [r.term for r in close.withColumn("d", d).filter(F.col("d").between(0, edits)).orderBy("d", "term").limit(limit).collect()]
+    return [r.term for r in close.withColumn("d", d).filter(F.col("d").between(0, edits)).distinct().orderBy("d", "term").limit(limit).collect()]
 
 
 class TextSource(Source):
@@ -210,20 +210,20 @@ class TextSource(Source):
         return self._corpus
 
     def similar(self, term, edits, prefix, limit):
-        return _nearest_terms(self._tokens.select(F.explode("tokens").alias("term")).distinct(), term, edits, prefix, limit)
+        return _nearest_terms(self._tokens.select(F.explode("tokens").alias("term")), term, edits, prefix, limit)
 
 
 class IndexSource(Source):
     """Postings of an index, and of the rows it doesn't cover from their texts."""
 
-    def __init__(self, index: DataFrame, n: int, tokens: int, tokenizer: Tokenizer, live: DataFrame | None = None, rest: TextSource | None = None) -> None:
-        """live: (_rowid) of the rows that still are as they were indexed, if any changed."""
-        self.tokenizer, self._index, self._n, self._sum, self._live, self._rest = tokenizer, index, n, tokens, live, rest
+    def __init__(self, index: DataFrame, terms: DataFrame, n: int, tokens: int, tokenizer: Tokenizer, live: Callable[[DataFrame], DataFrame] | None = None, rest: TextSource | None = None) -> None:
+        """terms: the vocabulary (a term may come more than once); live leaves out rows that are not as indexed any more, if there are any."""
+        self.tokenizer, self._index, self._terms, self._n, self._sum, self._live, self._rest = tokenizer, index, terms, n, tokens, live, rest
 
     def of_terms(self, terms: Sequence[str]) -> DataFrame:
         found = self._index.filter(F.col("term").isin(list(terms))).select("_rowid", "term", "tf", "dl", "positions")
         if self._live is not None:
-            found = found.join(self._live, "_rowid", "left_semi")
+            found = self._live(found)
         return found if self._rest is None else found.unionByName(self._rest.of_terms(terms))
 
     def corpus(self) -> tuple[int, float]:
@@ -234,9 +234,9 @@ class IndexSource(Source):
         return n, s / n if n else 0.0
 
     def similar(self, term, edits, prefix, limit):
-        vocabulary = self._index.select("term").distinct()
+        vocabulary = self._terms.select("term")
         if self._rest is not None:
-            vocabulary = vocabulary.union(self._rest._tokens.select(F.explode("tokens").alias("term"))).distinct()
+            vocabulary = vocabulary.union(self._rest._tokens.select(F.explode("tokens").alias("term")))
         return _nearest_terms(vocabulary, term, edits, prefix, limit)
 
 

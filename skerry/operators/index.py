@@ -6,7 +6,8 @@ kept whole (flat) or as codes: sq (one byte a dimension), pq (a codeword a subsp
 bits of the residual).  Graph kinds (hnsw) are the same files without the graph.  Inverted text
 indices are postings sorted by term.  Scalar kinds need no structure of their own, since
 Parquet's row-group bounds, dictionaries and Spark's pushdown do their work; a btree may cluster the
-table by its column, which makes the bounds tight.
+table by its column, which makes the bounds tight.  An inverted index keeps its vocabulary (terms
+and the number of their texts) as a table of its own, which is what fuzzy terms are looked up in.
 
 An index covers the rows as they were at its version: rows written later are searched directly
 and joined in, rows deleted or updated since are left out.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace as changed
 
@@ -33,7 +34,9 @@ from . import fts, vector
 
 VECTOR_KINDS = {"ivf_flat": "flat", "ivf_sq": "sq", "ivf_pq": "pq", "ivf_rq": "rq", "ivf_hnsw_flat": "flat", "ivf_hnsw_sq": "sq", "ivf_hnsw_pq": "pq"}
 SCALAR_KINDS = ("btree", "bitmap", "label_list", "fm")
-PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, MAX_PARTITIONS, SPREAD_START = 20, 256, 50, 1 << 20, 4096, 256
+PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, SPREAD_START = 20, 256, 50, 1 << 20, 256
+#: Distances that a step of k-means holds at once.
+STEP_CELLS = 1 << 22
 #: The part of the partitions that a search probes by default, PROBES at least: recall falls with the share, not with the number.
 PROBE_SHARE = 0.75
 #: Commits after which every row that an index covers still is as it was.
@@ -123,8 +126,11 @@ def _build_fts(table, column: str, m, params: dict, rows: DataFrame | None = Non
     rows = table._scan(m) if rows is None else rows
     path = _folder(table)
     _write_postings(fts.tokenized(rows, column, tokenizer), path)
-    size = table.spark.read.parquet(path).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("s")).first()
-    return {"paths": [path], "texts": rows.filter(F.col(column).isNotNull()).count(), "tokens": size.s}
+    held = table.spark.read.parquet(path)
+    size = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("s")).first()
+    terms = f"{path}-terms"
+    held.groupBy("term").agg(F.count("*").alias("df")).write.parquet(terms)
+    return {"paths": [path], "terms": [terms], "texts": rows.filter(F.col(column).isNotNull()).count(), "tokens": size.s}
 
 
 def fts_sources(table, indexed_only: bool = False) -> dict[str, fts.Source]:
@@ -140,12 +146,15 @@ def fts_sources(table, indexed_only: bool = False) -> dict[str, fts.Source]:
             continue
         live, fresh = _since(table, entry)
         rest = None if fresh is None or indexed_only else fts.TextSource(fresh, entry["column"], tokenizer)
-        out[entry["column"]] = fts.IndexSource(table.spark.read.parquet(*entry["paths"]), entry["texts"], entry["tokens"], tokenizer, live, rest)
+        out[entry["column"]] = fts.IndexSource(table.spark.read.parquet(*entry["paths"]), table.spark.read.parquet(*entry["terms"]), entry["texts"], entry["tokens"], tokenizer, live, rest)
     return out
 
 
-def _since(table, entry: dict) -> tuple[DataFrame | None, DataFrame | None]:
-    """(row ids that still are as indexed, None if all are; rows written since, None if there are none)."""
+def _since(table, entry: dict) -> tuple[Callable[[DataFrame], DataFrame] | None, DataFrame | None]:
+    """(what leaves out rows that are not as indexed any more, None if all are; rows written since, None if there are none).
+
+    Only files that came or went since are read, as long as the version that was indexed is kept.
+    """
     m, built = table.manifest(), entry["version"]
     if m.version == built:
         return None, None
@@ -153,10 +162,15 @@ def _since(table, entry: dict) -> tuple[DataFrame | None, DataFrame | None]:
     later = [v for v in held if built < v <= m.version]
     ops = [table.log.read(v).op for v in later]
     complete = len(later) == m.version - built  # pruned versions may have changed anything
-    fresh = table._scan(m).filter(F.col(UPDATED) > built)
+    old = table.log.read(built) if built in held else None
+    fresh = table._scan(m).filter(F.col(UPDATED) > built) if old is None else table.written_since(old, m)
     if complete and all(op in _APPENDS for op in ops):
         return None, fresh if "append" in ops else None
-    return table._scan(m).filter(F.col(UPDATED) <= built).select(ROW_ID), fresh
+    if old is None:
+        live = table._scan(m).filter(F.col(UPDATED) <= built).select(ROW_ID)
+        return lambda rows: rows.join(live, ROW_ID, "left_semi"), fresh
+    gone = table.vanished(old, m)
+    return lambda rows: rows.join(gone, ROW_ID, "left_anti"), fresh
 
 
 # -- vectors ---------------------------------------------------------------------------------
@@ -168,34 +182,36 @@ def kmeans(rows: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 1
     Up to SPREAD_START of them start far from each other (by squared distance), more start at random rows.
     """
     rng = np.random.default_rng(seed)
-    rows = np.asarray(rows, dtype=np.float64)
+    rows = np.asarray(rows)
     k = min(k, len(rows))
     if k <= SPREAD_START:
         picked = [int(rng.integers(len(rows)))]
-        gap = ((rows - rows[picked[0]]) ** 2).sum(axis=1)
+        gap = ((rows - rows[picked[0]]) ** 2).sum(axis=1, dtype=np.float64)
         for _ in range(k - 1):
             total = gap.sum()
             picked.append(int(rng.choice(len(rows), p=gap / total)) if total > 0 else int(rng.integers(len(rows))))
-            gap = np.minimum(gap, ((rows - rows[picked[-1]]) ** 2).sum(axis=1))
-        centers = rows[picked].copy()
+            gap = np.minimum(gap, ((rows - rows[picked[-1]]) ** 2).sum(axis=1, dtype=np.float64))
+        centers = rows[picked].astype(np.float64)
     else:
-        centers = rows[rng.choice(len(rows), k, replace=False)].copy()
-    norms = (rows**2).sum(axis=1)
-    at = np.full(len(rows), -1)
+        centers = rows[rng.choice(len(rows), k, replace=False)].astype(np.float64)
+    at, step = np.full(len(rows), -1), max(1, STEP_CELLS // max(k, rows.shape[1]))
     for _ in range(iterations):
-        far = norms[:, None] - 2 * rows @ centers.T + (centers**2).sum(axis=1)[None, :]
-        new = far.argmin(axis=1)
+        new, gap, sums = np.empty(len(rows), dtype=np.int64), np.empty(len(rows)), np.zeros_like(centers)
+        norms = (centers**2).sum(axis=1)
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step].astype(np.float64)
+            far = norms[None, :] - 2 * some @ centers.T
+            near = far.argmin(axis=1)
+            new[low : low + step], gap[low : low + step] = near, far[np.arange(len(some)), near] + (some**2).sum(axis=1)
+            np.add.at(sums, near, some)
         if (new == at).all():
             break
         at = new
         counts = np.bincount(at, minlength=k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, at, rows)
         full = counts > 0
         centers[full] = sums[full] / counts[full][:, None]
         if not full.all():
-            worst = np.argsort(-far[np.arange(len(rows)), at])[: (~full).sum()]
-            centers[~full] = rows[worst]
+            centers[~full] = rows[np.argsort(-gap)[: (~full).sum()]]
     return centers
 
 
@@ -274,11 +290,14 @@ def _build_vector(table, column: str, m, kind: str, params: dict) -> dict:
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError("metric is l2, cosine or dot")
     parts = params.get("num_partitions") or (m.rows // params["target_partition_size"] if params.get("target_partition_size") else round(m.rows**0.5))
-    parts = max(1, min(int(parts), MAX_PARTITIONS))
+    parts = max(1, int(parts))
+    if parts > MAX_SAMPLE:
+        raise ValueError(f"more than {MAX_SAMPLE} partitions: k-means trains on a sample of as many rows at most")
     wanted = min(MAX_SAMPLE, max(parts * params.get("sample_rate", SAMPLE_RATE), 1 << 12))
     share = min(1.0, 1.2 * wanted / m.rows)  # a bounded sample, picked by hash of the row id
     picked = rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64(ROW_ID), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = np.array([r.v for r in picked.filter((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).limit(wanted).collect()], dtype=np.float64)
+    column_of = picked.filter((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).limit(wanted).select("v").toArrow().column(0)
+    sample = np.concatenate([np.zeros(0, dtype=np.float32), *[c.flatten().to_numpy(zero_copy_only=False) for c in column_of.chunks]]).reshape(-1, dim)
     if not len(sample):
         raise ValueError("a vector index needs rows to train on")
     sample = _unit(sample) if metric == "cosine" else sample
@@ -359,9 +378,10 @@ def probe(table, held: tuple[str, dict], queries: list, keep: int, probes: tuple
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i, dtype=np.int32)), pa.array(some[best]), pa.array(near[best])], names=["query_index", ROW_ID, "_distance"])
 
         codes = _codes(table, entry).filter(F.col("ivf_part").isin(sorted(set().union(*lists)))).select(ROW_ID, "ivf_part", "code")
-        for ids in (live, allowed):
-            if ids is not None:
-                codes = codes.join(ids, ROW_ID, "left_semi")
+        if live is not None:
+            codes = live(codes)
+        if allowed is not None:
+            codes = codes.join(allowed, ROW_ID, "left_semi")
         found = codes.mapInArrow(run, f"query_index int, {ROW_ID} long, _distance double")
         return _best(found, wide)
 
@@ -423,7 +443,15 @@ def stats(table, name: str) -> dict | None:
         return None
     live, fresh = _since(table, entry)
     new = 0 if fresh is None else fresh.count()
-    return {"index_type": entry["kind"], "column": entry["column"], "metric": entry["params"].get("metric"), "num_indexed_rows": table.count_rows() - new, "num_unindexed_rows": new, "version": entry["version"]}
+    covered = table.count_rows() - new
+    if entry["kind"] in VECTOR_KINDS or entry["kind"] == "fts":  # null texts, and null or non-finite vectors, are in no index
+        if live is None:
+            covered = entry["texts"]
+        elif entry["kind"] == "fts":
+            covered = table.scan().filter((F.col(UPDATED) <= entry["version"]) & F.col(entry["column"]).isNotNull()).count()
+        else:
+            covered = live(_codes(table, entry).select(ROW_ID)).count()
+    return {"index_type": entry["kind"], "column": entry["column"], "metric": entry["params"].get("metric"), "num_indexed_rows": covered, "num_unindexed_rows": new, "version": entry["version"]}
 
 
 def wait(table, names, timeout: float) -> None:
@@ -450,7 +478,7 @@ def fold(table, name: str) -> dict:
     new = dict(entry) | {"version": m.version}
     if fresh is not None and entry["kind"] == "fts":
         more = _build_fts(table, entry["column"], m, entry["params"], fresh)
-        new |= {"paths": entry["paths"] + more["paths"], "texts": entry["texts"] + more["texts"], "tokens": entry["tokens"] + more["tokens"]}
+        new |= {"paths": entry["paths"] + more["paths"], "terms": entry["terms"] + more["terms"], "texts": entry["texts"] + more["texts"], "tokens": entry["tokens"] + more["tokens"]}
     elif fresh is not None and entry["kind"] in VECTOR_KINDS:
         coder = Coder.from_row(table.spark.read.schema(_CODER).parquet(entry["coder"]).first().asDict(recursive=False))
         path = f"{entry['coder'].removesuffix('/coder')}/codes-{m.version}"

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Expr
-from ..sources.snapshot import ROW_ID, SYSTEM, UPDATED, Manifest
-from ..sources.table import Table, next_row_id, stamped
+from ..sources.snapshot import ROW_ID, SYSTEM, Manifest
+from ..sources.table import Table, file_name, next_row_id, stamped
 from .computed import analyzed
 
 SOURCE_ROW = "__source_row_id"
@@ -148,14 +148,16 @@ class MaterializedView:
                 if d["limit"] is not None:
                     new = new.orderBy(SOURCE_ROW).limit(d["limit"])
             else:
-                fresh = rows.filter(F.col(UPDATED) > d["watermark"])
+                fresh = source.written_since(source.log.read(d["watermark"]), m)
                 new = self._computed(fresh, d)
                 stay = view.files
                 if removing:
-                    held = self.table._scan(view)
-                    alive = rows.filter(F.col(UPDATED) <= d["watermark"]).select(F.col(ROW_ID).alias(SOURCE_ROW))
-                    kept = held.join(alive, SOURCE_ROW, "left_semi").select(*held.columns)
-                    stay = self.table._write(view, kept)
+                    gone = source.vanished(source.log.read(d["watermark"]), m).select(F.col(ROW_ID).alias(SOURCE_ROW))
+                    named = self.table._scan(view, named=True)
+                    hits = {r._file for r in named.join(gone, SOURCE_ROW, "left_semi").select("_file").distinct().collect()}
+                    touched = [f for f in view.files if file_name(f.path) in hits]
+                    kept = self.table._scan(view, touched).join(gone, SOURCE_ROW, "left_anti") if touched else None
+                    stay = (*[f for f in view.files if file_name(f.path) not in hits], *(self.table._write(view, kept) if touched else ()))
                     removed = view.rows - sum(f.rows for f in stay)
                 if d["limit"] is not None:
                     new = new.orderBy(SOURCE_ROW).limit(max(0, d["limit"] - sum(f.rows for f in stay)))

@@ -152,6 +152,13 @@ def ivf_pq_refined(spark, sf_dir):
 
 @query(ORACLE_SQL["knn_l2"])
 def ivf_sq_refined(spark, sf_dir):
+    table = cloned(_vectors(spark, sf_dir))
+    table.create_index("vector", "ivf_sq", num_partitions=4)
+    return _rounded(table.search(VECTOR).nprobes(4).refine_factor(10).select(["vec_id", "label"]).to_df(), "_distance")
+
+
+@query(ORACLE_SQL["knn_l2"])
+def ivf_hnsw_sq_refined(spark, sf_dir):
     table = cloned(_vectors(spark, sf_dir))
     table.create_index("vector", "ivf_hnsw_sq", num_partitions=4)
     return _rounded(table.search(VECTOR).nprobes(4).refine_factor(10).select(["vec_id", "label"]).to_df(), "_distance")
@@ -191,15 +198,15 @@ def project_sort_page(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, lower(c_mktsegment) AS lo, upper(c_name) AS up, contains(c_name, '99') AS has, trim(concat('  ', c_mktsegment, ' ')) AS bt, octet_length(encode(c_name))::INTEGER AS bytes,
-  c_acctbal::BIGINT::VARCHAR AS kind, c_custkey % 7 IN (1, 3) AS listed, c_nationkey + 2 * c_custkey AS sum, c_acctbal IS NULL AS gone, c_name LIKE '%1_' AS fits
+  c_acctbal::BIGINT::VARCHAR AS kind, c_custkey % 7 IN (1, 3) AS listed, c_nationkey + 2 * c_custkey AS sum, c_acctbal IS NULL AS gone, c_name LIKE '%1_' AS fits, trunc(c_acctbal)::BIGINT AS whole
 FROM customer WHERE NOT (c_acctbal < 0)
 """)
 def expression_functions(spark, sf_dir):
     table = imported(spark, sf_dir, "customer")
     return table.query().where(~(col("c_acctbal") < 0)).select({
         "c_custkey": "c_custkey", "lo": col("c_mktsegment").lower(), "up": col("c_name").upper(), "has": col("c_name").contains("99"), "bt": func("btrim", func("concat", lit("  "), col("c_mktsegment"), lit(" "))),
-        "bytes": func("octet_length", col("c_name")), "kind": "CAST(CAST(round(c_acctbal) AS BIGINT) AS STRING)", "listed": "c_custkey % 7 IN (1, 3)", "sum": col("c_nationkey") + 2 * col("c_custkey"),
-        "gone": col("c_acctbal").is_null(), "fits": col("c_name").like("%1_"),
+        "bytes": func("octet_length", col("c_name")), "kind": "CAST(CAST(bround(c_acctbal) AS BIGINT) AS STRING)", "listed": "c_custkey % 7 IN (1, 3)", "sum": col("c_nationkey") + 2 * col("c_custkey"),
+        "gone": col("c_acctbal").is_null(), "fits": col("c_name").like("%1_"), "whole": col("c_acctbal").cast(int),
     }).to_df()
 
 
@@ -611,26 +618,13 @@ SELECT p_brand, count(l_orderkey) AS sold, count(*) AS n FROM part LEFT JOIN lin
 
 
 @query("""
-SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS due FROM orders WHERE o_custkey < 100)
+SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS due FROM orders)
 ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) e ON o_custkey = e.user_id AND due >= e.ts
 """)
 def join_as_of(spark, sf_dir):
     """For each row the last event of its key up to its time: one union and one window, no pairs."""
     from .operators.joins import as_of
 
-    orders = _read(spark, sf_dir, "orders").filter("o_custkey < 100").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 9500 DAY")).alias("at"))
-    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return as_of(orders, events, left_on="at", right_on="ts", left_by="o_custkey", right_by="user_id", order="event_id").select("o_orderkey", "event_id")
-
-
-@query("""
-SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9500 DAY AS due FROM orders)
-ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) e ON o_custkey = e.user_id AND due >= e.ts
-""")
-def join_as_of_all(spark, sf_dir):
-    """join_as_of over every order: its own SQL keeps only customers below 100."""
-    from .operators.joins import as_of
-
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 9500 DAY")).alias("at"))
     events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return as_of(orders, events, left_on="at", right_on="ts", left_by="o_custkey", right_by="user_id", order="event_id").select("o_orderkey", "event_id")

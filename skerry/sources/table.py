@@ -266,6 +266,18 @@ class Table:
         out = [*[F.col(f"`{c}`") for c in names], ROW_ID, "_change"]
         return wrote.select(*out).unionByName(gone.select(*out))
 
+    def vanished(self, old: Manifest, new: Manifest) -> DataFrame:
+        """Row ids of old's rows that new no longer holds as they were.  Reads only files that one of the two lacks."""
+        both = {f.path for f in old.files} & {f.path for f in new.files}
+        before = self._scan(old, [f for f in old.files if f.path not in both]).select(ROW_ID)
+        after = self._scan(new, [f for f in new.files if f.path not in both]).filter(F.col(UPDATED) <= old.version).select(ROW_ID)
+        return before.join(after, ROW_ID, "left_anti")
+
+    def written_since(self, old: Manifest, new: Manifest) -> DataFrame:
+        """New's rows that were written or changed after old, with their system columns."""
+        held = {f.path for f in old.files}
+        return self._scan(new, [f for f in new.files if f.path not in held]).filter(F.col(UPDATED) > old.version)
+
     # -- reading -------------------------------------------------------------------------------
 
     def _scan(self, m: Manifest, files: Sequence[DataFile] | None = None, named: bool = False) -> DataFrame:

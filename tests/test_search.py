@@ -473,3 +473,48 @@ def test_joins(spark):
     a = spark.sql("SELECT 1 AS i, TIMESTAMP '2024-01-01 00:00:00' AS lo, TIMESTAMP '2024-01-01 02:00:00' AS hi")
     b = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:00'), (2, TIMESTAMP '2024-01-01 01:59:59'), (3, TIMESTAMP '2024-01-01 02:00:00') AS t(n, at)")
     assert sorted(r.n for r in within(a, b, "lo", "hi", "at", width=3600).collect()) == [1, 2]
+
+
+def test_probes_after_changes_read_only_changed_files(db, points):
+    table, matrix = points
+    copy = db.clone_table("changed", table)
+    copy.create_index("vector", "ivf_flat", num_partitions=4)
+    copy.create_index("name", "fts")
+    copy.update({"name": "other thing"}, where="id = 7")
+    copy.delete("id = 8")
+    old, new = copy.log.read(copy.indices()["vector_idx"]["version"]), copy.manifest()
+    assert {r["_rowid"] for r in copy.vanished(old, new).collect()} == {r["_rowid"] for r in table.scan().filter("id in (7, 8)").collect()}
+    assert len(copy.vanished(old, new).inputFiles()) < len(old.files) + len(new.files)
+    assert copy.index_stats("vector_idx")["num_indexed_rows"] == 398 and copy.index_stats("vector_idx")["num_unindexed_rows"] == 1
+    assert [r["id"] for r in copy.search(matrix[7]).nprobes(4).limit(1).to_list()] == [7] and 8 not in [r["id"] for r in copy.search(matrix[8]).nprobes(4).limit(399).to_list()]
+    assert {r["id"] for r in copy.search(fts.MatchQuery("itam", "name", fuzziness=1)).all_matches().to_df().collect()} == set(range(400)) - {7, 8}
+    assert [r["id"] for r in copy.search(fts.MatchQuery("thang", "name", fuzziness=1)).all_matches().to_df().collect()] == [7]
+
+
+def test_index_counts_leave_out_what_it_cannot_hold(db, spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, None, None), (2, [float("nan"), 1.0], "b"), (3, [0.0, 1.0], "c")]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("t", T.StringType())])
+    table = db.create_table("holes", spark.createDataFrame(rows, schema), schema, on_bad_vectors="keep")
+    table.create_index("vector", "ivf_flat", num_partitions=1)
+    table.create_index("t", "fts")
+    assert table.index_stats("vector_idx")["num_indexed_rows"] == 2 and table.index_stats("t_idx")["num_indexed_rows"] == 3
+
+
+def test_kmeans_holds_few_distances(monkeypatch):
+    from skerry.operators import index
+
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3000, 8)).astype(np.float32)
+    whole = kmeans(rows, 300, 5)
+    monkeypatch.setattr(index, "STEP_CELLS", 20_000)
+    assert np.allclose(whole, kmeans(rows, 300, 5), atol=1e-6)
+
+
+def test_too_many_partitions(db, points):
+    with pytest.raises(ValueError):
+        db.clone_table("many", points[0]).create_index("vector", "ivf_flat", num_partitions=1 << 21)
+
+
+def test_cast_of_numbers_to_integers_cuts(spark):
+    frame = spark.createDataFrame([(98.5, 98), (97.5, 97), (-0.5, 0), (-1.5, -1), (-2.9, -2), (None, None)], "x double, want long")
+    assert frame.filter(~col("x").cast(int).to_column().eqNullSafe(F.col("want"))).count() == 0
