@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .scratch import drop, new_folder, release, written
 
-ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 4 << 20, 16 << 20, 48 << 20, 1 << 19
+ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 3 << 20, 16 << 20, 48 << 20, 1 << 19
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -187,10 +187,13 @@ def _entries(batches: Iterator[pa.RecordBatch], orders: list[int], partitions: i
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by partition: sum a partition's entries to its count table and join the table to them."""
-    part, held = None, []
-
-    def answer() -> pa.RecordBatch:
+    """The rows of whole partitions: sum a partition's entries to its part of the count table and join the table to them."""
+    parts: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for row in _rows(batch):
+            parts.setdefault(row["part"], []).append((row["batch"], row["keys"], row["counts"]))
+    for part in list(parts):
+        held = parts.pop(part)
         entries = [unpacked_keys(k) for _, k, _ in held]
         stops = np.cumsum([len(k) for k in entries])
         _, at = np.unique(np.concatenate(entries), return_inverse=True)
@@ -199,17 +202,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(int(at.max(initial=-1)) + 1, dtype=np.int64)
         np.add.at(table, at, counts)
         others = np.split(table[at] - counts, stops[:-1])
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int64()), pa.array([packed(t) if t.any() else None for t in others], pa.binary()), pa.array([len(t) for t in others], pa.int64())], names=["batch", "part", "others", "n"])
-
-    for batch in batches:
-        for row in _rows(batch):
-            if row["part"] != part:
-                if held:
-                    yield answer()
-                part, held = row["part"], []
-            held.append((row["batch"], row["keys"], row["counts"]))
-    if held:
-        yield answer()
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int64()), pa.array([packed(t) if t.any() else None for t in others], pa.binary()), pa.array([len(t) for t in others], pa.int64())], names=["batch", "part", "others", "n"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], orders: list[int], order: int, alpha: float, total: int) -> Iterator[pa.RecordBatch]:
@@ -296,7 +289,7 @@ class _Plan:
         if state is not None:
             known = known.join(state.hint("merge"), "batch")
         entries = known.mapInArrow(lambda it: _entries(it, orders, self.partitions), "part long, batch long, keys binary, counts binary")
-        answers = entries.repartition(self.tasks, "part").sortWithinPartitions("part").mapInArrow(lambda it: _joined(it), "batch long, part long, others binary, n long")
+        answers = entries.repartitionById(self.partitions, F.col("part").cast("int")).mapInArrow(lambda it: _joined(it), "batch long, part long, others binary, n long")
         back = answers.repartition(self.tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "others", "n")).alias("answers"))
         whole = known.join(back.hint("merge"), "batch", "left")
         return _Bucketed(whole.mapInArrow(lambda it: _scores(it, orders, self.order, self.alpha, self.total), f"batch long, state {_STATE}"), "states", self.tasks)
@@ -310,7 +303,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, ba
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts, path = written(source.mapInArrow(lambda it: _pack(it, batch_bytes), "batch long, ids array<long>, sizes array<long>, text binary, n_words long, n_bytes long"), "batches")
     size = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
-    plan = _Plan(order, alpha, size["words"], max(64, -(-size["bytes"] // partition_bytes)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES)))
+    plan = _Plan(order, alpha, size["words"], max(8, -(-size["bytes"] // partition_bytes)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // TASK_BYTES)))
     texts = _Bucketed(texts.select("batch", "ids", "sizes", "text").repartition(plan.tasks, "batch"), "texts", plan.tasks)
     drop(spark, path)
     state = None
