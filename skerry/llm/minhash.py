@@ -306,8 +306,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group, the one of the least doc_id, and one row of it; columns as they were."""
+    """docs with one document of each group, the one of the least doc_id; columns as they were.
+
+    A row that repeats both doc_id and text of another goes; rows that share a doc_id but not the text stay,
+    and so do all rows of a null doc_id.
+    """
     gone = near_duplicates(docs.select("doc_id", "text"), **how).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     packed = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__print"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    kept = packed.join(gone.hint("merge"), F.col("__id").cast("long") == F.col("__gone"), "left_anti").dropDuplicates(["__id", "__print"])
-    return kept.select("__row.*")
+    kept = packed.filter("__id is not null").join(gone.hint("merge"), F.col("__id").cast("long") == F.col("__gone"), "left_anti").dropDuplicates(["__id", "__print"])
+    return kept.unionByName(packed.filter("__id is null"), allowMissingColumns=True).select("__row.*")

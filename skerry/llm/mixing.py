@@ -59,17 +59,23 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies: how often each document is emitted, 0 included."""
+def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target and copies: how often each document is emitted, 0 included.
+
+    size is the number of words of `text` unless a column of docs holds it already.
+    """
     made = ("size", "source_size", "target", "copies")
     kept = [c for c in docs.columns if c.lower() not in made]
-    sized = docs.select(*[F.col(f"`{c}`") for c in kept], word_count(F.col("text").cast("string")).alias("size"))
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text").cast("string"))).alias("source_size"))
-    rates = targets(sizes, weights, max_repeats).withColumnRenamed("source", "__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    extra = F.when(chance(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (F.floor(rate) + extra).cast("long").alias("copies"))
+    words = word_count(F.col("text").cast("string")) if size is None else size.cast("long")
+    # numbered names: no column of docs clashes with what is joined to it
+    held = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(kept)], F.col("doc_id").alias("__doc"), F.col("source").alias("__of"), words.alias("__size"))
+    sizes = held.groupBy(F.col("__of").alias("source")).agg(F.sum("__size").alias("source_size"))
+    rates = targets(sizes, weights, max_repeats).select(F.col("source").alias("__source"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    rate = F.when(F.col("__total") > 0, F.col("__target") / F.col("__total").cast("double")).otherwise(F.lit(0.0))
+    extra = F.when(chance(F.col("__doc"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    joined = held.join(rates, F.col("__of").eqNullSafe(F.col("__source")))
+    out = [F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), (F.floor(rate) + extra).cast("long").alias("copies")]
+    return joined.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], *out)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

@@ -73,9 +73,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .mixing import mix_plan
+    from .mixing import mix_plan, word_count
+    from .scratch import materialize
 
-    plan = mix_plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # words are counted once: two columns and the size are written, and read for the sums and for the plan
+    sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
+    plan = mix_plan(sized, size=F.col("words"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -149,9 +152,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import word_count
     from .packing import pack
 
-    packed = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packed = pack(_table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("words")), length=F.col("words"))
     return packed.select("doc_id", "length", "bucket", "bucket_length", "batch", "place")
 
 

@@ -139,6 +139,8 @@ def test_mix_plan_and_mix(spark, docs, corpus):
 def test_mix_edges(spark, none):
     assert mixing.mix_plan(none).count() == 0
     clash = spark.createDataFrame([(1, "a b", "x", 9, 9, 9), (2, None, None, 9, 9, 9), (3, "", None, 9, 9, 9)], "doc_id long, text string, source string, size long, Copies long, target long")
+    odd = clash.selectExpr("*", "7 AS `__source`", "8 AS `__of`", "9 AS `__size`", "source AS `source_size`")
+    assert [(r["size"], r["__source"], r["__size"]) for r in mixing.mix_plan(odd).orderBy("doc_id").collect()] == [(2, 7, 9), (0, 7, 9), (0, 7, 9)]
     assert [r["size"] for r in mixing.mix_plan(clash).orderBy("doc_id").collect()] == [2, 0, 0]
     assert mixing.mix(clash).columns == clash.columns
 
@@ -556,6 +558,8 @@ def test_drop_near_duplicates(docs, corpus, none):
     assert kept.columns == docs.columns
     want = {(a if a >= 0 else None) for a, _, c in near(corpus, 5, 80) if a == c}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, want))
+    odd = docs.sparkSession.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (1, "p q r s t u"), (1, "p q r s t u"), (1, "other words stand here now")], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text[0]) for r in minhash.drop_near_duplicates(odd).collect()) == {(None, "a"): 2, (None, "x"): 1, (1, "p"): 1, (1, "o"): 1}
     assert minhash.near_duplicates(none).count() == 0 and minhash.drop_near_duplicates(none).count() == 0
 
 
@@ -575,7 +579,7 @@ def test_bayesian_bounds():
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(60):
-        lengths = np.unique(rng.integers(0, 40, int(rng.integers(1, 9))))
+        lengths = np.unique(rng.integers(0, int(rng.choice([40, 90_000])), int(rng.integers(1, 9))))
         counts, k = rng.integers(1, 5, len(lengths)), int(rng.integers(1, 5))
 
         def padding(bounds, lengths=lengths, counts=counts):
@@ -600,11 +604,22 @@ def test_pack(docs, corpus, none, cell_rows):
     assert packing.pack(none).count() == 0
 
 
-def test_length_classes_are_bounded(spark):
-    from pyspark.sql import functions as F
+def test_equal_rows_spread_over_the_cells(spark):
+    table = spark.range(20_000, numPartitions=3).selectExpr("1L AS doc_id", "'a b c' AS text", "id AS `__cell`", "1 AS `__h`", "2 AS row")
+    got = packing.pack(table, budget=300, cell_rows=1000)
+    assert got.columns == ["doc_id", "text", "__cell", "__h", "row", "length", "bucket", "bucket_length", "batch", "place"]
+    rows = got.collect()
+    assert {r["__cell"] for r in rows} == set(range(20_000)) and Counter(r.batch for r in rows) == {b: 100 for b in range(200)}
+    heavy = [x["n"] for x in got.selectExpr("xxhash64(`__cell`) % 20 AS c").groupBy("c").count().withColumnRenamed("count", "n").collect()]
+    assert max(heavy) < 20_000 / 4
+
 
-    rows = spark.range(1, 200_000, 7).select("id", packing.length_class(F.col("id")).alias("c")).collect()
-    assert all(r.c >= r.id and (r.id > 4096 or r.c == r.id) and r.c <= r.id * (1 + 1 / 512) + 1 for r in rows)
+def test_long_documents_and_their_batches(spark):
+    lengths = [5001, 9001, 70_003, 70_003, 12]
+    table = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.pack(table, budget=10_000).collect()}
+    assert [got[i].bucket_length for i in range(5)] == lengths
+    assert {got[2].batch, got[3].batch} == {0, 1}  # longer than the budget: a batch each
 
 
 # -- registry and pipeline --------------------------------------------------------------------
