@@ -17,6 +17,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and fitting rule of every URL: the part of op5_url_filter that SQL can say too."""
+    from pyspark.sql import functions as F
+
+    from .url_filter import RULES, fitting_rule, host_and_path
+
+    host, path = host_and_path(F.col("url"))
+    split = _table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, action = fitting_rule(F.col("host"), F.col("path"), RULES)
+    return split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
+
+
+URL_RULES_SQL = r"""
+WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+rules AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) t(rule, h, p, action)),
+fits AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(action, len(rule)) AS action FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, action FROM split LEFT JOIN fits USING (page_id)
+"""
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -70,6 +91,19 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x AS a, y AS b FROM edges UNION SELECT reach.a, edges.y FROM reach JOIN edges ON reach.b = edges.x),
+least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, least(doc_id, coalesce(b, doc_id)) = doc_id AS kept FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -151,6 +185,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT row_no, doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT row_no, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT row_no, unnest(range(i, i + 50)) AS place FROM windows JOIN firsts USING (h) WHERE least < doc_id),
+words AS (SELECT row_no, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts),
+kept AS (SELECT row_no, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (row_no, place) GROUP BY row_no),
+removed AS (SELECT row_no, count(*) AS n FROM gone GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (row_no) LEFT JOIN removed USING (row_no)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -172,11 +218,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "url_rules": url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op2_sharding": OP2_SQL,
     "op3_exact_topk": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op8_lm_scoring": OP8_SQL,
+    "op9_minhash": OP9_SQL,
+    "url_rules": URL_RULES_SQL,
 }

@@ -654,6 +654,15 @@ def test_pipeline_against_brute_force(spark, tmp_path, corpus, abuse):
 def test_queries_have_their_contract_columns():
     from skerry.llm import queries
 
-    assert {re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES} == {str(n) for n in range(1, 11)}
+    assert {m[1] for k in queries.QUERIES if (m := re.match(r"op(\d+)_", k))} == {str(n) for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     json.dumps(queries.ORACLE_SQL)
+
+
+def test_queries_match_their_sql(spark, sf):
+    from skerry.llm import queries
+
+    from ..oracle import check
+
+    for name, sql in queries.ORACLE_SQL.items():
+        check(queries.QUERIES[name](spark, sf), sql, sf)
