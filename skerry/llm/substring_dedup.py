@@ -15,10 +15,14 @@ reference is cut into shards that are bounded and that only the spans which can
    streamed through the suffix automaton of the earlier ones; its matching statistics give the
    maximal spans of `window` words or more, and then the context is added to the automaton.
 4. A shard of more than `shard_contexts` contexts (a very common line in ever new
-   surroundings) goes the exact way for large shards: its windows are hashed (128 bits) and
-   aggregated to their least document, with map-side combining, so no task holds the group.
+   surroundings) is cut finer, as often as it takes: its windows are dealt anew by their 2, 4, 8, ...
+   least grams together, and at last by all their words.  Equal windows agree in every one of
+   these keys, so none is parted from its like; equal pieces fold as in 2., and the pieces go
+   through automata as in 3.  Every shard is one of bounded size in the end.
 5. Spans are joined back to every place of their context and cut out of the whole texts.
 
+Contexts are told apart by 64 bits over all their words beside the 64 bits of their anchor.
+
 Nulls and edge cases: a null text has no words (n_words 0, kept text empty) and a null doc_id
 is neither a reference nor cut.  Rows that repeat a doc_id are no references for each other.
 Repeats inside one document stay.  Empty tables give empty results; extra columns are kept,
@@ -38,7 +42,7 @@ from pyspark.sql import types as T
 from . import textops as tx
 from .scratch import materialize
 
-SHARD_CONTEXTS = 512
+SHARD_CONTEXTS = 256
 
 
 def _window_least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +103,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s in spans[row + i].as_py():
                     lo, hi = first + s["lo"], first + s["hi"]
                     whole = buf[words.starts[lo] : words.ends[hi - 1]].tobytes()
-                    out.append((s["anchor"], s["context"], doc_id, s["large"], b" ".join(whole.split())))
+                    out.append((s["anchor"], s["context"], doc_id, b" ".join(whole.split())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["anchor", "context", "id", "large", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "context", "id", "words"])
 
 
 class SuffixAutomaton:
@@ -188,18 +192,40 @@ def _shard_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "context", "lo", "hi"])
 
 
-def _large_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def piece_keys(words: tx.Words, window: int, gram: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, key) of every window: the hash of its `depth` least grams, or of all its words if it has no more grams."""
+    doc = words.doc_of_word()
+    at = np.flatnonzero(words.first[1:][doc] - np.arange(len(doc)) >= window)
+    prefix = tx.sums(words.hashes)
+    many = window - gram + 1
+    if not len(at) or depth >= many:
+        return at, tx.span_hash(prefix, at, at + window)
+    begin = np.arange(len(doc) - gram + 1)
+    grams = tx.span_hash(prefix, begin, begin + gram)
+    keys = [np.sort(np.partition(np.lib.stride_tricks.sliding_window_view(grams, many)[at[k : k + 8192]], depth - 1, axis=1)[:, :depth], axis=1) for k in range(0, len(at), 8192)]
+    key = np.zeros(len(at), dtype=np.uint64)
+    for column in np.concatenate(keys).T:
+        key = tx.mix(key + column)
+    return at, key
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, gram: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with one key, as contexts of their own, with the places they have in theirs."""
     for batch in batches:
-        for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "words")):
+        for row, _, buf, doc_bytes in tx.chunks(tx.column(batch, "words"), 1 << 18):
             words = tx.Words(buf, doc_bytes)
-            doc = words.doc_of_word()
-            at = np.flatnonzero(words.first[1:][doc] - np.arange(len(doc)) >= window)
-            one = tx.span_hash(tx.sums(words.hashes), at, at + window)
-            two = tx.span_hash(tx.sums(tx.mix(words.hashes ^ np.uint64(0xA5A5A5A55A5A5A5A))), at, at + window)
-            take = pa.array(doc[at] + row)
+            at, key = piece_keys(words, window, gram, depth)
+            if not len(at):
+                continue
+            doc = words.doc_of_word()[at]
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (np.diff(at) != 1) | (doc[1:] != doc[:-1])))
+            a, b, doc = at[head], at[np.append(head[1:], len(at)) - 1] + window, doc[head]
+            context = tx.span_hash(tx.sums(words.hashes), a, b)
+            take, first = pa.array(doc + row), words.first[doc]
+            cut = [buf[words.starts[x] : words.ends[y - 1]].tobytes() for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(tx.column(batch, c).take(take) for c in ("anchor", "context", "id")), pa.array((at - words.first[doc[at]]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                names=["anchor", "context", "id", "lo", "w1", "w2"],
+                [tx.column(batch, "anchor").take(take), tx.column(batch, "context").take(take), tx.column(batch, "id").take(take), pa.array(key[head].view(np.int64)), pa.array(context.view(np.int64)), pa.array((a - first).astype(np.int32)), pa.array((b - first).astype(np.int32)), pa.array(cut, pa.binary())],
+                names=["of_anchor", "of_context", "id", "anchor", "context", "lo", "hi", "words"],
             )
 
 
@@ -246,8 +272,41 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], single_spaces: boo
             yield pa.RecordBatch.from_arrays([extra[c] if c in extra else tx.column(batch, c).slice(row, n_docs) for c in names], names=names)
 
 
+def _placed(places: DataFrame, contexts: DataFrame, found: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """Spans (keys, lo, hi) in what holds the places(keys, id, anchor, context, lo, hi), by what was found in contexts(anchor, context, id).
+
+    A place of a later document than its context's least one goes whole; in that one go the found spans.
+    """
+    lists = found.groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    verdict = materialize(contexts.select("anchor", "context", F.col("id").alias("owner")).join(lists, ["anchor", "context"], "left"), "verdicts")
+    whole = F.array(F.struct("lo", "hi"))
+    inner = F.transform("found", lambda s: F.struct((s.lo + F.col("lo")).alias("lo"), (s.hi + F.col("lo")).alias("hi")))
+    spans = places.join(verdict, ["anchor", "context"]).select(*keys, F.explode(F.when(F.col("id") > F.col("owner"), whole).otherwise(inner)).alias("s"))
+    return spans.select(*keys, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
+
+
+def resolved(passages: DataFrame, window: int, gram: int, shard_contexts: int, depth: int = 1) -> DataFrame:
+    """(anchor, context, lo, hi) of repeated spans in passages(anchor, context, id, words), one row a context."""
+    sizes = passages.groupBy("anchor").agg(F.count("*").alias("n"))
+    last = depth > window - gram + 1  # keyed by all words: each shard is one context, and nothing is left to find
+    small = passages.join(sizes.filter(F.lit(last) | (F.col("n") <= shard_contexts)).select("anchor"), "anchor", "left_semi")
+    dealt = small.select("anchor", "context", "id", "words").repartition("anchor").sortWithinPartitions("anchor", "id")
+    found = dealt.mapInArrow(lambda it: _shard_spans(it, window), "anchor long, context long, lo int, hi int")
+    if last or sizes.filter(F.col("n") > shard_contexts).isEmpty():
+        return found
+    large = passages.join(sizes.filter(F.col("n") > shard_contexts).select("anchor"), "anchor", "left_semi")
+    pieces = large.mapInArrow(lambda it: _pieces(it, window, gram, 2 * depth), "of_anchor long, of_context long, id long, anchor long, context long, lo int, hi int, words binary")
+    pieces = materialize(pieces, "pieces")
+    several = pieces.groupBy("anchor").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("anchor")
+    pieces = materialize(pieces.join(several, "anchor", "left_semi"), "pieces")
+    contexts = materialize(pieces.groupBy("anchor", "context").agg(F.min(F.struct("id", "words")).alias("r")).select("anchor", "context", "r.*"), "pieces")
+    inner = resolved(contexts, window, gram, shard_contexts, 2 * depth)
+    spans = _placed(pieces, contexts, inner, ("of_anchor", "of_context"))
+    return found.unionByName(spans.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), "lo", "hi"))
+
+
 def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """The spans to cut: (__id, __key, spans array<struct<lo, hi>>) of docs(__id, __key, __text); places count words, hi is excluded."""
+    """The spans to cut: (__id, __key, __spans array<struct<lo, hi>>) of docs(__id, __key, __text); places count words, hi is excluded."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
     known = docs.filter("__id is not null and __text is not null")
@@ -259,24 +318,14 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16, shard_c
     contexts = materialize(places.groupBy("anchor", "context").agg(F.min(F.struct("id", "key", "lo", "hi")).alias("r")).select("anchor", "context", "r.*"), "contexts")
 
     shards = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("_a"), F.max("id").alias("_b")).filter("n > 1 and _a < _b")
-    wanted = contexts.join(shards.select("anchor", "n"), "anchor").groupBy(F.col("id").alias("__id"), F.col("key").alias("__key"))
-    wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", (F.col("n") > shard_contexts).alias("large"))).alias("spans"))
+    wanted = contexts.join(shards.select("anchor"), "anchor", "left_semi").groupBy(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", "lo", "hi")).alias("spans"))
     one = known.join(wanted, ["__id", "__key"]).select("__id", "__key", "__text", "spans")
-    passages = one.mapInArrow(_passages, "anchor long, context long, id long, large boolean, words binary")
-    passages = materialize(passages, "passages").dropDuplicates(["anchor", "context"])
-    small = passages.filter("not large").select("anchor", "context", "id", "words").repartition("anchor").sortWithinPartitions("anchor", "id")
-    found = small.mapInArrow(lambda it: _shard_spans(it, window), "anchor long, context long, lo int, hi int")
-    windows = passages.filter("large").mapInArrow(lambda it: _large_windows(it, window), "anchor long, context long, id long, lo int, w1 long, w2 long")
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("w1", "w2", "_a")
-    large = windows.join(least, ["w1", "w2"]).filter("_a < id").select("anchor", "context", "lo", (F.col("lo") + window).alias("hi"))
-    found = found.unionByName(large).groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-
-    verdict = materialize(contexts.select("anchor", "context", F.col("id").alias("owner")).join(found, ["anchor", "context"], "left"), "verdicts")
-    placed = places.join(verdict, ["anchor", "context"])
-    whole = F.array(F.struct("lo", "hi"))
-    inner = F.transform("found", lambda s: F.struct((s.lo + F.col("lo")).alias("lo"), (s.hi + F.col("lo")).alias("hi")))
-    spans = placed.select("id", "key", F.explode(F.when(F.col("id") > F.col("owner"), whole).otherwise(inner)).alias("s"))
-    return spans.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("s").alias("__spans"))
+    passages = one.mapInArrow(_passages, "anchor long, context long, id long, words binary")
+    passages = materialize(passages.dropDuplicates(["anchor", "context"]), "passages")
+    found = resolved(passages, window, gram, shard_contexts)
+    spans = _placed(places, contexts, found, ("id", "key"))
+    return spans.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, *, single_spaces: bool = False, **how) -> DataFrame:

@@ -314,7 +314,7 @@ def cut(rows, window):
     return out
 
 
-@pytest.mark.parametrize("shard_contexts", [512, 1])
+@pytest.mark.parametrize("shard_contexts", [512, 3, 1])
 def test_remove_repeats(docs, corpus, shard_contexts):
     got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs, single_spaces=True, shard_contexts=shard_contexts).collect()]
     want = cut(corpus, 50)
@@ -322,6 +322,19 @@ def test_remove_repeats(docs, corpus, shard_contexts):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_a_common_line_in_new_surroundings(spark):
+    """Many contexts under one anchor: the shard is cut finer until every piece is small."""
+    rng = np.random.default_rng(12)
+    line, rows = sentence(rng, 40), []
+    for i in range(120):
+        a, b = sentence(rng, 30), sentence(rng, 30)
+        rows.append((i, " ".join((rows[i - 7][1].split()[20:40] if i % 9 == 8 else a) + line + b)))
+    rows += [(200, rows[5][1]), (201, rows[5][1] + " tail")]
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), single_spaces=True, shard_contexts=4).collect()]
+    want = cut(rows, 50)
+    assert sum(w[2] > 0 for w in want) > 10 and sorted(got) == sorted(want)
+
+
 def test_remove_repeats_keeps_the_rest(docs, corpus):
     texts = defaultdict(set)
     for i, t, *_ in corpus:
