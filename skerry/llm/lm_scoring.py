@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .scratch import drop, new_folder, release, written
 
-ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 3 << 20, 16 << 20, 48 << 20, 1 << 19
+ORDER, ALPHA, BATCH_BYTES, PARTITION_BYTES, TASK_BYTES, RUN_BYTES = 5, 0.4, 2 << 20, 8 << 20, 48 << 20, 1 << 19
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
