@@ -257,6 +257,9 @@ def blob_ranges(spark, sf_dir):
 _TOKENS = r"tokens AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\pN]+'), lambda t: t <> '') AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM tokens)"
 
 
+_BM25_TOKENS = _TOKENS
+
+
 def _bm25(*terms: str) -> str:
     """SQL of (doc_id, term, s): the part of each term in each document's score."""
     rows = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS tf, len(w)::DOUBLE AS dl FROM tokens" for t in terms)
@@ -688,3 +691,4 @@ def stream_append(spark, sf_dir):
     return table.checkout_latest().to_df()
 
 
+from . import further_queries  # noqa: E402, F401  (adds its queries to QUERIES)

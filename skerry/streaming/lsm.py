@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import bucket
 from ..sources import ingest
 from ..sources.fs import Taken
 from ..sources.snapshot import ROW_ID
@@ -39,9 +40,10 @@ class LsmSpec:
         if self.kind == "bucket" and not 1 <= self.buckets <= MAX_BUCKETS:
             raise ValueError(f"buckets are from 1 to {MAX_BUCKETS}")
 
-    def shard(self):
+    def shard(self, schema: T.StructType):
+        """The shard of a row of this schema; a null goes to one of its own."""
         if self.kind == "bucket":
-            return F.pmod(F.xxhash64(F.col(self.column)), F.lit(self.buckets)).cast("string")
+            return F.coalesce(bucket(F.col(self.column), schema[self.column].dataType, self.buckets).cast("string"), F.lit("__null__"))
         return F.coalesce(F.col(self.column).cast("string"), F.lit("__null__")) if self.kind == "identity" else F.lit("0")
 
 
@@ -79,7 +81,7 @@ class LsmTier:
         if not rows.groupBy(self.key).count().filter("count > 1").isEmpty():
             raise ValueError("a key twice in one upsert")
         path = f"{self.table.uri}/_lsm/data/{uuid.uuid4().hex}"
-        rows.withColumn("__shard", self.spec.shard()).write.partitionBy("__shard").parquet(path)
+        rows.withColumn("__shard", self.spec.shard(self.table.schema)).write.partitionBy("__shard").parquet(path)
         while True:
             names = [n for n in self.table.store.names("_lsm/generations") if n.endswith(".json") and not n.startswith(".")]
             generation = max([self._folded(), *[int(n[:-5]) for n in names]]) + 1

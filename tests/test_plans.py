@@ -1,5 +1,6 @@
 """Views, permutations, context windows, keyed deltas, streams and loaders."""
 
+import datetime
 import itertools
 from collections import Counter
 
@@ -262,3 +263,15 @@ def test_streams_write_once(db, spark, tmp_path, mode):
         assert got == {i: min(2, i // 5) for i in range(18)}
     with pytest.raises(ValueError):
         write_stream(None, table, checkpoint, "other")
+
+
+def test_buckets_agree_with_other_writers(spark):
+    from skerry.functions.hashing import bucket, murmur3
+
+    assert murmur3((34).to_bytes(8, "little")) == 2017239379 and murmur3(b"iceberg") == 1210000089
+    frame = spark.createDataFrame([(34, "iceberg", datetime.date(2017, 11, 16)), (-5, "", None), (None, None, None)], "n long, s string, d date")
+    got = [tuple(r) for r in frame.select(bucket(F.col("n"), T.LongType(), 1000), bucket(F.col("s"), T.StringType(), 1000), bucket(F.col("d"), T.DateType(), 1000)).collect()]
+    want = lambda b: (murmur3(b) & 0x7FFFFFFF) % 1000
+    assert got == [(want((34).to_bytes(8, "little")), want(b"iceberg"), want((17486).to_bytes(8, "little"))), (want((2**64 - 5).to_bytes(8, "little")), want(b""), None), (None, None, None)]
+    with pytest.raises(ValueError):
+        bucket(F.col("n"), T.DoubleType(), 4)
