@@ -675,7 +675,7 @@ def test_queries_have_their_contract_columns():
 def test_queries_match_their_sql(spark, sf):
     from skerry.llm import queries
 
-    from ..oracle import check
+    from tests.oracle import check
 
     for name, sql in queries.ORACLE_SQL.items():
         check(queries.QUERIES[name](spark, sf), sql, sf)
