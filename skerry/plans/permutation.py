@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expr import Expr, to_column
 from ..sources.snapshot import ROW_ID
@@ -37,6 +38,11 @@ def numbered(frame: DataFrame, key: str, rows: int, *ties: str, name: str = "pos
     return inside.join(before, "__cell").withColumn(name, F.col("__at") + F.col("__before")).drop("__cell", "__at", "__before")
 
 
+def ordered_rows(frame: DataFrame) -> Iterator:
+    """Rows by position: one sort, then partition after partition comes to the driver, the next one ahead of its turn."""
+    return frame.orderBy("position").toLocalIterator(prefetchPartitions=True)
+
+
 def counts_of(rows: int, ratios: Sequence[float] | None = None, counts: Sequence[int] | None = None, fixed: int | None = None) -> list[int]:
     """Rows of each split.  Ratios are rounded to the nearest; if they sum to one, all rows are dealt, one off or one on from the first split on."""
     if sum(x is not None for x in (ratios, counts, fixed)) != 1:
@@ -310,15 +316,15 @@ class Permutation:
 
     def iter(self, batch_size: int = 1024, skip_last_batch: bool = True) -> Iterator:
         """Batches in order; a last one that isn't full is skipped unless told otherwise."""
-        n, at = self.count(), 0
-        chunk = max(batch_size, 1 << 14) // batch_size * batch_size
-        while at < n:
-            part = self.with_skip(at).with_take(chunk).to_df().toArrow().combine_chunks()
-            for low in range(0, part.num_rows, batch_size):
-                piece = part.slice(low, batch_size)
-                if piece.num_rows == batch_size or not skip_last_batch:
-                    yield self._shaped(piece.to_batches()[0] if piece.num_rows else pa.RecordBatch.from_pylist([], schema=piece.schema))
-            at += chunk
+        schema, held = to_arrow_schema(self.to_df().schema), []
+        for row in ordered_rows(self._frame()):
+            held.append(row.asDict(recursive=True))
+            del held[-1]["position"]
+            if len(held) == batch_size:
+                yield self._shaped(pa.RecordBatch.from_pylist(held, schema=schema))
+                held = []
+        if held and not skip_last_batch:
+            yield self._shaped(pa.RecordBatch.from_pylist(held, schema=schema))
 
     def state(self) -> str:
         return json.dumps({"split": self._split, "skip": self._skip, "take": self._take, "columns": self._columns})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import typing
 from collections.abc import Iterable, Iterator, Mapping
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,6 +180,15 @@ def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame(pa.ipc.open_stream(data).read_all())
 
 
+def held_partitions(data, cores: int) -> int | None:
+    """How many files data held by the driver should be written as; None for what Spark holds."""
+    if isinstance(data, (pa.Table, pa.RecordBatch)):
+        return write_partitions(data.num_rows, data.nbytes, cores)
+    if isinstance(data, pd.DataFrame):
+        return write_partitions(len(data), int(data.memory_usage(deep=True).sum()), cores)
+    return write_partitions(len(data), 0, cores) if isinstance(data, list) else None
+
+
 def write_partitions(rows: int, size: int, cores: int) -> int:
     """How many files a write should have: a million rows or 2 GiB each, and no more than cores when that is more."""
     return max(1, min(max(-(-rows // 1_000_000), -(-size // (2 << 30))), max(cores, 1)))

@@ -372,6 +372,8 @@ class Table:
         def change(m: Manifest) -> Manifest:
             nonlocal count
             frame = self._admit(data, m, on_bad_vectors, fill_value)
+            if (parts := ingest.held_partitions(data, self.spark.sparkContext.defaultParallelism)) is not None:
+                frame = frame.coalesce(parts)
             files = self._write(m, stamped(frame, m.next_row_id, m.version + 1))
             count = sum(f.rows for f in files)
             if progress is not None:

@@ -1,20 +1,21 @@
 """A resumable, elastic reader of a permutation for training processes.
 
-The split is cut into `rank_count * workers` shares by position; a share is read in blocks
-ahead of the consumer by a small pool.  state() is the number of samples each share gave, so any number
-of ranks and workers can resume what another number read.
+The split is cut into `rank_count * workers` shares by position.  A share is one sorted read whose
+partitions come to the consumer one after the other, the next one ahead of its turn; transforms run in a
+small pool, in order.  state() is the number of samples each share gave, so any number of ranks
+and workers can resume what another number read.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import itertools
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources.snapshot import ROW_ID
+from ..plans.permutation import ordered_rows
 
 READ_BATCH, PREFETCH = 64, 4
 POLICIES = ("raise", "skip", "warn")
@@ -36,41 +37,32 @@ class StreamingDataset:
         n = self._permutation.count() - self._start
         return max(0, (n - self._share + self._shares - 1) // self._shares)
 
-    def _positions(self, n: int) -> range:
-        return range(self._start + self._share, n, self._shares)
-
-    def _read(self, places: list[int]) -> pa.Table:
-        return self._permutation.take_offsets(places).toArrow()
+    def _mine(self, start: int):
+        """(position, columns) of this share's rows from a position on."""
+        p = self._permutation
+        return p._frame(p.row_ids().filter((F.col("position") >= start) & ((F.col("position") - self._start) % self._shares == self._share)))
 
     def __iter__(self) -> Iterator:
-        places = list(self._positions(self._permutation.count()))[self._done :]
-        blocks = [places[i : i + self._batch] for i in range(0, len(places), self._batch)]
-        with ThreadPoolExecutor(self._prefetch) as pool:
-            ahead: deque = deque()
-            for block in blocks:
-                ahead.append(pool.submit(self._read, block))
-                if len(ahead) >= self._prefetch:
-                    yield from self._give(ahead.popleft().result())
-            while ahead:
-                yield from self._give(ahead.popleft().result())
-
-    def _give(self, table: pa.Table) -> Iterator:
-        for row in table.to_pylist():
-            self._done += 1
-            if self._transform is None:
+        rows = (r.asDict(recursive=True) for r in ordered_rows(self._mine(self._start + self._done * self._shares)))
+        plain = ({c: v for c, v in row.items() if c != "position"} for row in rows)
+        if self._transform is None:
+            for row in plain:
+                self._done += 1
                 yield row
-                continue
-            try:
-                out = self._transform(row)
-            except Exception as failed:
-                if self._on_error == "raise":
-                    raise
-                if self._on_error == "warn":
-                    import warnings
-
-                    warnings.warn(f"a sample was skipped: {failed}", stacklevel=2)
-                continue
-            yield out
+            return
+        with ThreadPoolExecutor(self._prefetch) as pool:
+            while block := list(itertools.islice(plain, self._batch)):
+                for made in [pool.submit(self._transform, row) for row in block]:
+                    self._done += 1
+                    try:
+                        out = made.result()
+                    except Exception as failed:
+                        if self._on_error == "raise":
+                            raise
+                        if self._on_error == "warn":
+                            warnings.warn(f"a sample was skipped: {failed}", stacklevel=2)
+                        continue
+                    yield out
 
     def state_dict(self) -> dict:
         """All shares advance alike, so the samples that one gave tell what is done."""
@@ -81,6 +73,4 @@ class StreamingDataset:
 
     def frame(self):
         """The rows of this share as a DataFrame, in order."""
-        p = self._permutation
-        mine = p.row_ids().filter((F.col("position") >= self._start) & ((F.col("position") - self._start) % self._shares == self._share))
-        return p._frame(mine).orderBy("position").drop("position", ROW_ID)
+        return self._mine(self._start).orderBy("position").drop("position")

@@ -6,13 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import queries as corpus
-from skerry.llm import packing, url_filter
 from skerry.queries import QUERIES
 from skerry.sources.catalog import connect
 
-from .oracle import check
-
 
 def test_as_of_query_takes_every_order(spark, tmp_path):
     at = lambda d: datetime(2020, 1, 1) + timedelta(days=d)
@@ -25,18 +21,7 @@ def test_as_of_query_takes_every_order(spark, tmp_path):
         return max(((ts, e) for e, u, ts in events if u == user and ts <= due), default=(None, None))[1]
 
     want = {(o, last(user, day + timedelta(days=9500))) for o, user, day in orders}
-    assert {tuple(r) for r in QUERIES["join_as_of_all"](spark, str(tmp_path)).collect()} == want
-
-
-def test_scores_see_two_words_back(spark, sf, tmp_path):
-    """Two texts of the same bigrams, one made of trigrams that recur: only more than one word of context tells them apart."""
-    known, shuffled = "a b c b d b a", "a b d b c b a"
-    rows = [(0, known), (1, known), (2, known), (3, shuffled)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    scores = lambda name: {r.doc_id: r.score for r in corpus.QUERIES[name](spark, str(tmp_path)).collect()}
-    two, three = scores("op8_lm_scoring"), scores("op8_lm_scoring_trigram")
-    assert two[0] == two[3] and three[0] > three[3]
-    check(corpus.QUERIES["op8_lm_scoring_trigram"](spark, sf), corpus.ORACLE_SQL["op8_lm_scoring_trigram"], sf)
+    assert {tuple(r) for r in QUERIES["join_as_of"](spark, str(tmp_path)).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["fts_match_all", "fts_boolean", "fts_boost", "fts_phrase", "fts_fuzzy"])
@@ -56,26 +41,6 @@ def test_all_matches(spark, tmp_path):
         table.query().all_matches().to_df()
 
 
-@pytest.mark.parametrize("lacking", ["held-out", "counted"])
-def test_url_model_when_one_part_lacks_a_class(spark, lacking):
-    urls = [(f"good{i}.example/articles/{i}", 1) for i in range(60)] + [(f"cheap{i}pills.test/buy?now={i}", 0) for i in range(60)]
-    table = spark.createDataFrame(urls, "__url string, kind int").withColumn("fold", F.pmod(F.xxhash64("__url"), F.lit(4)))
-    kept = table.filter("kind = 0 OR fold > 0" if lacking == "held-out" else "kind = 0 OR fold = 0").drop("fold")
-    model = url_filter.fit(kept, order=3)
-    fresh = [b"good99.example/articles/999", b"cheap88pills.test/buy?now=999"]
-    d = model.difference(np.frombuffer(b"".join(fresh), dtype=np.uint8), np.cumsum([0, *map(len, fresh)]))
-    assert d[0] > model.threshold() == 0 > d[1]
-    assert not url_filter.fit(kept.filter("kind = 0"), order=3).total.any()
-
-
-def test_boundaries_of_long_texts_occur(spark):
-    lengths = [3, 4097, 5001, 5002, 70_001, 70_003]
-    docs = spark.createDataFrame([(i, "", n) for i, n in enumerate(lengths)], "doc_id long, text string, n long")
-    got = packing.pack(docs, buckets=4, length=F.col("n")).collect()
-    assert sorted(r.length for r in got) == lengths
-    assert {r.bucket_length for r in got} == {3, 4097, 5002, 70_003}
-
-
 def test_recall_of_default_probes(spark, tmp_path):
     """More partitions (63) than the fixed number once probed."""
     rows = np.random.default_rng(2).normal(size=(4000, 32)).astype(np.float32)
