@@ -1,13 +1,16 @@
 """Sharding by size-tiered compaction, in DataFrame functions only.
 
 A store is a folder: `data/<arrival>/part-*.parquet` are immutable shards and
-`_manifests/<version>.json` name the live ones.  append() writes an arrival as it is
+`_manifests/<version>.json` say which shards a version added and removed; every FULL_EVERY versions
+the whole list is written beside it (`<version>.full`), so a commit writes what it changes and a
+read follows a short chain.  append() writes an arrival as it is
 partitioned (no shuffle) and commits.  compact() sorts the live shards by size, finds runs of
 similar size (each within `spread` of the run's mean, or all below the floor) and merges a run
 of `min_run` or more into files of about `target_bytes` (coalesce: no shuffle), until no run is
-left; every merge commits one version that swaps the run for the merged files.
+left; the runs of a pass are merged side by side, and every merge commits one version that swaps the
+run for the merged files.
 
-A commit writes the whole manifest beside its place and renames it there without overwriting,
+A commit writes its manifest beside its place and renames it there without overwriting,
 so a version appears complete or not at all; who loses the race reads the winner's manifest and
 tries again (a merge whose inputs are gone is given up).  Readers take the newest version, or
 any earlier one that vacuum() has kept.  A job that dies leaves files that no manifest names;
@@ -23,6 +26,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET_BYTES, MIN_RUN, SPREAD, FLOOR_BYTES = 128 << 20, 4, 0.5, 4 << 20
+#: Versions between two whole lists of shards, and merges that run side by side.
+FULL_EVERY, MERGES = 16, 8
 
 
 @dataclass(frozen=True)
@@ -71,18 +77,49 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
 
-    def manifest(self, version: int | None = None) -> dict:
-        held = self.versions()
-        if version is None:
-            version = held[-1] if held else 0
-        if version == 0:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._at(f"_manifests/{version:020d}.json"))
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._at(f"_manifests/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def manifest(self, version: int | None = None) -> dict:
+        """A version's number, schema and shards."""
+        if version is None:
+            held = self.versions()
+            version = held[-1] if held else 0
+        later: list[dict] = []
+        at, shards, schema = version, {}, None
+        while at:
+            if self._fs.exists(self._at(f"_manifests/{at:020d}.full")):
+                whole = self._load(f"{at:020d}.full")
+                shards, schema = {s["path"]: s for s in whole["shards"]}, whole["schema"]
+                break
+            later.append(self._load(f"{at:020d}.json"))
+            at -= 1
+        for step in reversed(later):
+            schema = step["schema"]
+            for path in step["removed"]:
+                del shards[path]
+            shards |= {s["path"]: s for s in step["added"]}
+        return {"version": version, "schema": schema, "shards": list(shards.values())}
+
+    def _store_full(self, version: int) -> None:
+        """The whole list of a version, for shorter reads; it says what the versions up to it say."""
+        name = self._at(f"_manifests/{version:020d}.full")
+        if not self._fs.exists(name):
+            draft = self._draft(self.manifest(version))
+            if not self._fs.rename(draft, name):
+                self._fs.delete(draft, False)
+
+    def _draft(self, body: dict):
+        draft = self._at(f"_manifests/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        return draft
+
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**s) for s in self.manifest(version)["shards"]]
 
@@ -95,15 +132,14 @@ class ShardStore:
                 return None
             schema, shards = new
             version = held["version"] + 1
-            body = json.dumps({"version": version, "parent": held["version"], "what": what, "at": time.time(), "schema": schema, "shards": [vars(s) for s in shards]})
-            draft, final = self._at(f"_manifests/.{uuid.uuid4().hex}"), self._at(f"_manifests/{version:020d}.json")
-            out = self._fs.create(draft, False)
-            out.write(bytearray(body.encode()))
-            out.close()
+            before, after = {s["path"] for s in held["shards"]}, {s.path for s in shards}
+            draft, final = self._draft({"version": version, "parent": held["version"], "what": what, "at": time.time(), "schema": schema, "added": [vars(s) for s in shards if s.path not in before], "removed": sorted(before - after)}), self._at(f"_manifests/{version:020d}.json")
             context = self._hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
             none = self.spark._sc._gateway.new_array(self._hadoop.fs.Options.Rename, 0)
             try:
                 context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), none)
+                if version % FULL_EVERY == 0:
+                    self._store_full(version)
                 return version
             except Exception as lost:  # py4j wraps Java's FileAlreadyExistsException
                 self._fs.delete(draft, False)
@@ -132,32 +168,33 @@ class ShardStore:
 
         return self._commit(change, "append")
 
+    def _merge(self, old: list[Shard], schema: str) -> int | None:
+        """Swap shards for files of the target's size; the version, None if that would not make fewer or another merge took them."""
+        files = max(1, round(sum(s.bytes for s in old) / self.target_bytes))
+        if files >= len(old):
+            return None
+        new = self._write(self._read(old, schema).coalesce(files))
+        gone = {s.path for s in old}
+
+        def change(held: dict):
+            if not gone <= {s["path"] for s in held["shards"]}:
+                return None
+            return held["schema"], [Shard(**s) for s in held["shards"] if s["path"] not in gone] + new
+
+        return self._commit(change, "compact")
+
     def compact(self) -> list[int]:
         """Merge runs of similar size until none is left; the versions committed."""
         done: list[int] = []
         while True:
-            live = self.shards()
+            held = self.manifest()
+            live = [Shard(**s) for s in held["shards"]]
             runs = similar_runs([s.bytes for s in live], self.target_bytes, self.min_run, self.spread, self.floor_bytes)
-            merged = False
-            for run in runs:
-                old = [live[i] for i in run]
-                files = max(1, round(sum(s.bytes for s in old) / self.target_bytes))
-                if files >= len(old):
-                    continue
-                new = self._write(self._read(old, self.manifest()["schema"]).coalesce(files))
-                gone = {s.path for s in old}
-
-                def change(held: dict, gone=gone, new=new):
-                    if not gone <= {s["path"] for s in held["shards"]}:
-                        return None
-                    return held["schema"], [Shard(**s) for s in held["shards"] if s["path"] not in gone] + new
-
-                version = self._commit(change, "compact")
-                if version is not None:
-                    done.append(version)
-                    merged = True
-            if not merged:
+            with ThreadPoolExecutor(MERGES) as pool:
+                made = [v for v in pool.map(lambda run: self._merge([live[i] for i in run], held["schema"]), runs) if v is not None]
+            if not made:
                 return done
+            done += sorted(made)
 
     def _read(self, shards: list[Shard], schema: str | None) -> DataFrame:
         if schema is None:
@@ -176,8 +213,11 @@ class ShardStore:
         held = self.versions()
         stay = held[-keep:]
         named = {s.path for v in stay for s in self.shards(v)}
+        if stay:
+            self._store_full(stay[0])
         for v in held[:-keep]:
-            self._fs.delete(self._at(f"_manifests/{v:020d}.json"), False)
+            for kind in ("json", "full"):
+                self._fs.delete(self._at(f"_manifests/{v:020d}.{kind}"), False)
         folder = self._at("data")
         if not self._fs.exists(folder):
             return

@@ -158,6 +158,9 @@ def test_store_compacts_and_keeps_rows(spark, tmp_path, docs, corpus):
     assert not sharding.similar_runs([s.bytes for s in store.shards()], 200_000, floor=1_000)
     store.vacuum(keep=1)
     assert store.read().count() == 18_000 and len(store.versions()) == 1
+    for i in range(sharding.FULL_EVERY + 2):  # chains with a whole list in them, after one was cut off
+        store.append(spark.range(i, i + 1).selectExpr("id", "md5(cast(id as string)) t"))
+    assert store.read().count() == 18_002 + sharding.FULL_EVERY and store.read(store.versions()[3]).count() == 18_003
     other = sharding.ShardStore(spark, str(tmp_path / "d"))
     other.append(docs)
     assert sorted(map(str, other.read().collect())) == sorted(str(r) for r in docs.collect())
