@@ -1,11 +1,13 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Fit.  Tokens are runs of letters and digits, lower-cased (A-Z).  They are counted in toxic and
-clean labelled texts into tables of fixed size (2^18 slots for tokens, 2^16 for their first
-bytes), so the model is 2.5 MB however large the corpus and the vocabulary are, and only those
-tables travel.  A token's score is its log-odds between the classes under a Dirichlet prior that
-is centred on the log-odds of its first bytes (which have a prior of their own): seen tokens go
-by their counts, unseen ones by their stem.  A drift is taken off, so clean text scores below 0.
+Fit.  Tokens are runs of letters and digits, lower-cased (A-Z), and told apart by 64-bit hashes.  Every
+token of the toxic and clean labelled texts is counted in a table.  A token's score is its
+log-odds between the classes under a Dirichlet prior that is centred on the log-odds of its first
+bytes (which have a prior of their own): seen tokens go by their counts, unseen ones by their
+stem.  The model that travels holds the tokens whose score differs from their stem's by `evidence`
+or more, and the stems whose score differs from 0 by as much; the rest says nothing that its
+default does not.  So it grows with the labelled vocabulary that tells the classes apart, not
+with the corpus.  A drift is taken off, so clean text scores below 0.
 
 Score.  The scores of a text are scanned once for all maximal-scoring segments (Ruzzo and Tompa).
 Segment scores of clean text have an exponential tail, which is fitted on labelled clean texts that
@@ -39,17 +41,44 @@ from pyspark.sql import types as T
 from . import textops as tx
 from .scratch import materialize
 
-TOKEN_SLOTS, STEM_SLOTS, STEM_BYTES = 1 << 18, 1 << 16, 4
+STEM_BYTES, EVIDENCE, HELD_TOKENS = 4, 0.5, 1 << 20
 STRENGTH, DRIFT, LOWEST, HIGHEST = 4.0, 1.5, -4.0, 8.0
 BIN, BINS, ORIGIN = 0.25, 320, -60.0
 #: Segments of clean text in the fitted tail (one in so many tokens, so many at least), and the bins of their scores.
 TAIL_TOKENS, TAIL_LEAST, SCORE_BIN, SCORE_BINS = 500, 20, 1 / 64, 1 << 14
 
 
-def slots(buf: np.ndarray, doc_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tx.Words]:
-    """Token slot and stem slot of every token of a chunk."""
+def hashed(buf: np.ndarray, doc_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tx.Words]:
+    """Hash and stem hash of every token of a chunk."""
     words = tx.Words(buf, doc_bytes, lower=True, space=tx.NOT_LETTERS)
-    return (words.hashes % np.uint64(TOKEN_SLOTS)).astype(np.int64), (words.prefix_hashes(STEM_BYTES) % np.uint64(STEM_SLOTS)).astype(np.int64), words
+    return words.hashes, words.prefix_hashes(STEM_BYTES), words
+
+
+@dataclass
+class Scores:
+    """Scores by hash: ascending hashes and their scores."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The scores, NaN where there is none."""
+        if not len(self.keys):
+            return np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], np.nan)
+
+    @classmethod
+    def none(cls) -> Scores:
+        return cls(np.zeros(0, dtype=np.uint64), np.zeros(0))
+
+    @classmethod
+    def collected(cls, frame: DataFrame) -> Scores:
+        """Of frame(hash long, score double)."""
+        table = frame.toArrow()
+        keys = table.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], table.column(1).to_numpy()[order].astype(np.float64))
 
 
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
@@ -82,8 +111,8 @@ def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    tokens: np.ndarray  # score of each token slot, NaN where no token was counted
-    stems: np.ndarray
+    tokens: Scores
+    stems: Scores
     decay: float  # lambda
     factor: float  # K
     floor: float  # the least score of the fitted tail
@@ -92,8 +121,8 @@ class Model:
     e_value: float = 1e-3
 
     def values(self, token: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        own = self.tokens[token]
-        return np.where(np.isnan(own), self.stems[stem], own)
+        own, usual = self.tokens.of(token), self.stems.of(stem)
+        return np.where(np.isnan(own), np.nan_to_num(usual), own) - DRIFT
 
     def segments(self, values: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int, float]]]:
         """Each document's maximal segments."""
@@ -144,10 +173,14 @@ def tail(counts: np.ndarray, tokens: int) -> tuple[float, float, float]:
     return decay, float(above[at] / tokens * np.exp(min(decay * at * SCORE_BIN, 500.0))), at * SCORE_BIN
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, center: np.ndarray | float = 0.0) -> np.ndarray:
-    """Log of (toxic rate / clean rate) under a Dirichlet prior of STRENGTH tokens a slot, split by class size and tilted by center."""
-    tilt = np.exp(np.clip(center, LOWEST, HIGHEST) / 2)
-    return np.log(toxic + STRENGTH * share * tilt) - np.log(clean + STRENGTH * (1 - share) / tilt) - np.log(share / (1 - share))
+def log_odds(toxic: Column, clean: Column, share: float, center: Column) -> Column:
+    """Log of (toxic rate / clean rate) under a Dirichlet prior of STRENGTH tokens, split by class size and tilted by center."""
+    tilt = F.exp(clipped(center) / 2)
+    return F.log(toxic + STRENGTH * share * tilt) - F.log(clean + STRENGTH * (1 - share) / tilt) - F.lit(float(np.log(share / (1 - share))))
+
+
+def clipped(score: Column) -> Column:
+    return F.least(F.greatest(score, F.lit(LOWEST)), F.lit(HIGHEST))
 
 
 def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[float, float]:
@@ -167,28 +200,40 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
     return float(beta[1]), float(beta[0])
 
 
+def _summed(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (token, stem, toxic, clean), one of each token."""
+    token, stem, toxic, clean = (np.concatenate(x) for x in zip(*parts, strict=True))
+    token, at, back = np.unique(token, return_index=True, return_inverse=True)
+    return [token, stem[at], *(np.bincount(back, weights=x, minlength=len(token)).astype(np.int64) for x in (toxic, clean))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse sums (slot, toxic, clean, a token slot's greatest stem) of one partition; stem slots follow the token slots."""
-    total = np.zeros((2, TOKEN_SLOTS + STEM_SLOTS), dtype=np.int64)
-    stem_of = np.zeros(TOKEN_SLOTS + STEM_SLOTS, dtype=np.int64)
+    """Sums (token, stem, toxic, clean) of one partition's tokens, given out whenever HELD_TOKENS are held."""
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1].view(np.int64)), pa.array(held[2]), pa.array(held[3])], names=["token", "stem", "toxic", "clean"])
+
+    parts: list = []
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         for row, _, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
-            token, stem, words = slots(buf, doc_bytes)
-            np.maximum.at(stem_of, token, stem)
-            kind = toxic[row + words.doc_of_word()]
-            for k in (0, 1):
-                mine = kind == k
-                total[k] += np.bincount(np.concatenate((token[mine], stem[mine] + TOKEN_SLOTS)), minlength=total.shape[1])
-    at = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at]), pa.array(stem_of[at])], names=["slot", "toxic", "clean", "stem"])
+            token, stem, words = hashed(buf, doc_bytes)
+            kind = toxic[row + words.doc_of_word()].astype(np.int64)
+            parts.append(_summed([(token, stem, kind, 1 - kind)]))
+            if len(parts) > 1 and sum(len(p[0]) for p in parts) > HELD_TOKENS:
+                parts = [_summed(parts)]
+                if len(parts[0][0]) > HELD_TOKENS // 2:
+                    yield rows(parts[0])
+                    parts = []
+    if parts:
+        yield rows(_summed(parts))
 
 
 def _clean_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """(bin, n) of the segments of texts, and their tokens as bin -1."""
     for batch in batches:
         for _, _, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
-            token, stem, words = slots(buf, doc_bytes)
+            token, stem, words = hashed(buf, doc_bytes)
             scores = np.array([s[2] for found in model.segments(model.values(token, stem), words.first) for s in found])
             bins, n = np.unique(np.minimum(scores / SCORE_BIN, SCORE_BINS - 1).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(bins, -1)), pa.array(np.append(n, len(token)))], names=["bin", "n"])
@@ -197,7 +242,7 @@ def _clean_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[p
 def _measure(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "text")):
-            token, stem, words = slots(buf, doc_bytes)
+            token, stem, words = hashed(buf, doc_bytes)
             found = model.segments(model.values(token, stem), words.first)
             says = np.array([model.evidence(f, n) for f, n in zip(found, np.diff(words.first), strict=True)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, stop - row), pa.array(-says)], names=["toxic", "x"])
@@ -213,28 +258,25 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     return texts.join(known.hint("merge"), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_value: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_value: float = 1e-3, evidence: float = EVIDENCE) -> Model:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic): three quarters are counted, one quarter calibrates."""
     rows = materialize(labelled(docs, labels, F.lit(True) if usable is None else usable), "labelled")
-    counted = rows.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "slot long, toxic long, clean long, stem long")
-    sums = counted.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("stem").alias("stem")).toPandas()  # at most TOKEN_SLOTS + STEM_SLOTS rows
-    toxic, clean = (np.zeros(TOKEN_SLOTS + STEM_SLOTS) for _ in range(2))
-    toxic[sums["slot"]], clean[sums["slot"]] = sums["toxic"], sums["clean"]
-    n_toxic, n_clean = toxic[:TOKEN_SLOTS].sum(), clean[:TOKEN_SLOTS].sum()
-    blank = Model(np.full(TOKEN_SLOTS, np.nan), np.zeros(STEM_SLOTS), 1.0, 1.0, 0.0, 0.0, 0.0, e_value)
-    if not n_toxic or not n_clean:
+    counted = rows.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "token long, stem long, toxic long, clean long")
+    tokens = materialize(counted.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tokens")
+    n = tokens.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean")).first()
+    model = Model(Scores.none(), Scores.none(), 1.0, 1.0, 0.0, 0.0, 0.0, e_value)
+    if not n.toxic or not n.clean:
         kinds = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         share = kinds.get(1, 0) / max(1, sum(kinds.values()))
-        blank.offset = 40.0 * (1 if share > 0.5 else -1)
-        return blank
-    share = float(n_toxic / (n_toxic + n_clean))
-    stem_odds = log_odds(toxic[TOKEN_SLOTS:], clean[TOKEN_SLOTS:], share)
-    stem_of = np.zeros(TOKEN_SLOTS + STEM_SLOTS, dtype=np.int64)
-    stem_of[sums["slot"]] = sums["stem"]
-    token_odds = log_odds(toxic[:TOKEN_SLOTS], clean[:TOKEN_SLOTS], share, stem_odds[stem_of[:TOKEN_SLOTS]])
-    model = blank
-    model.stems = np.clip(stem_odds, LOWEST, HIGHEST) - DRIFT
-    model.tokens = np.where(toxic[:TOKEN_SLOTS] + clean[:TOKEN_SLOTS] > 0, np.clip(token_odds, LOWEST, HIGHEST) - DRIFT, np.nan)
+        model.offset = 40.0 * (1 if share > 0.5 else -1)
+        return model
+    share = n.toxic / (n.toxic + n.clean)
+    stems = tokens.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    stems = stems.select("stem", clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.lit(0.0))).alias("usual"))
+    scored = tokens.join(stems.hint("merge"), "stem").select("token", "usual", clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.col("usual"))).alias("own"))
+    model.stems = Scores.collected(stems.filter(F.abs("usual") >= evidence).select("stem", "usual"))
+    default = F.when(F.abs("usual") >= evidence, F.col("usual")).otherwise(F.lit(0.0))
+    model.tokens = Scores.collected(scored.filter(F.abs(F.col("own") - default) >= evidence).select("token", "own"))
     held = rows.filter("fold = 0")
     counted = held.filter("toxic = 0").select("text").mapInArrow(lambda it: _clean_scores(it, model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     scores = np.zeros(SCORE_BINS)
@@ -255,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_valu
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, names: list[str], passage: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, stop, buf, doc_bytes in tx.chunks(tx.column(batch, "__text")):
-            token, stem, words = slots(buf, doc_bytes)
+            token, stem, words = hashed(buf, doc_bytes)
             segments = model.segments(model.values(token, stem), words.first)
             n = np.diff(words.first)
             p = model.probability(np.array([-model.evidence(found, k) for found, k in zip(segments, n, strict=True)], dtype=np.float64))

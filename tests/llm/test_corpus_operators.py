@@ -395,17 +395,14 @@ def test_url_model_is_a_distribution_and_separates(spark):
 
 
 def test_url_model_against_plain_counts():
-    """Witten and Bell's blend by hand, over a few URLs (too few for slots to collide)."""
+    """Witten and Bell's blend by hand, over a few URLs."""
     import pyarrow as pa
 
     urls = ["ab/", "abc", "b"]
     batch = pa.RecordBatch.from_arrays([pa.array(urls), pa.array([1, 1, 1])], names=["__url", "kind"])
     rows = [r for b in url_filter._count(iter([batch]), 2) for r in b.to_pylist()]
-    model = url_filter.Model(2, *(np.zeros((2, n)) for n in (url_filter.JOINTS, url_filter.CONTEXTS, url_filter.CONTEXTS)))
-    for r in rows:
-        model.joint[r["kind"], r["joint"]] += r["n"]
-        model.total[r["kind"], r["slot"]] += r["n"]
-        model.kinds[r["kind"], r["slot"]] += 1
+    kind, context, joint, n = (np.array([r[c] for r in rows]) for c in ("kind", "context", "joint", "n"))
+    model = url_filter.Model.of(2, kind, context.view(np.uint64), joint.view(np.uint64), n)
     seen = defaultdict(Counter)
     for u in urls:
         for i, c in enumerate(u):
@@ -493,6 +490,54 @@ def test_toxicity_on_held_out_rows(spark, abuse):
     assert "vile" in rows[6][1].encode()[spot.start : spot.end].decode()
 
 
+def test_toxicity_against_plain_counts(spark, abuse):
+    """The whole of fit and score over dictionaries; segments, tail and curve are tested by themselves."""
+    from pyspark.sql import functions as F
+
+    rows, labels = abuse
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")).collect()}
+    text, toxic, tokens = dict(rows), dict(labels), lambda t: re.findall("[a-z0-9]+", t.lower())
+    counts = {k: (Counter(), Counter()) for k in ("token", "stem")}
+    for i, t in rows:
+        if fold[i]:
+            for w in tokens(t):
+                counts["token"][toxic[i]][w] += 1
+                counts["stem"][toxic[i]][w[:4]] += 1
+    n = [sum(c.values()) for c in counts["token"]]
+    share = n[1] / sum(n)
+    clip = lambda x: min(max(x, toxicity.LOWEST), toxicity.HIGHEST)
+
+    def odds(kind, key, center):
+        clean, bad = (c[key] for c in counts[kind])
+        tilt = math.exp(clip(center) / 2)
+        return clip(math.log(bad + toxicity.STRENGTH * share * tilt) - math.log(clean + toxicity.STRENGTH * (1 - share) / tilt) - math.log(share / (1 - share)))
+
+    def value(w):
+        usual = odds("stem", w[:4], 0.0)
+        default = usual if abs(usual) >= toxicity.EVIDENCE else 0.0
+        own = odds("token", w, usual) if counts["token"][0][w] + counts["token"][1][w] else default
+        return (own if abs(own - default) >= toxicity.EVIDENCE else default) - toxicity.DRIFT
+
+    found = {i: toxicity.maximal_segments(np.array([value(w) for w in tokens(t)])) for i, t in rows}
+    clean = [i for i in text if not fold[i] and not toxic[i]]
+    bins = np.bincount([min(int(s[2] / toxicity.SCORE_BIN), toxicity.SCORE_BINS - 1) for i in clean for s in found[i]], minlength=toxicity.SCORE_BINS)
+    decay, factor, floor = toxicity.tail(bins, sum(len(tokens(text[i])) for i in clean))
+
+    def x(i):
+        best = sorted((s[2] for s in found[i] if s[2] >= floor), reverse=True)
+        if not best:
+            return 0.0
+        log_mean = np.array([math.log(factor * max(len(tokens(text[i])), 1)) - decay * s for s in best])
+        return min(0.0, float(toxicity.poisson_tail(log_mean).min() / math.log(10)))
+
+    held = Counter((min(max(math.floor((x(i) - toxicity.ORIGIN) / toxicity.BIN), 0), toxicity.BINS - 1), toxic[i]) for i in text if not fold[i])
+    at = sorted({b for b, _ in held})
+    slope, offset = toxicity.logistic(np.array([toxicity.ORIGIN + (b + 0.5) * toxicity.BIN for b in at]), np.array([float(held[b, 1]) for b in at]), np.array([float(held[b, 0]) for b in at]))
+    got = {r.doc_id: r.toxic_score for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert got == pytest.approx({i: 1 / (1 + math.exp(-(offset - slope * x(i)))) for i in text}, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, abuse, none):
     docs = spark.createDataFrame(abuse[0][:5], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
