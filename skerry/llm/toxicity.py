@@ -6,8 +6,8 @@ log-odds between the classes under a Dirichlet prior that is centred on the log-
 bytes (which have a prior of their own): seen tokens go by their counts, unseen ones by their
 stem.  The model that travels holds the tokens whose score differs from their stem's by `evidence`
 or more, and the stems whose score differs from 0 by as much; the rest says nothing that its
-default does not.  So it grows with the labelled vocabulary that tells the classes apart, not
-with the corpus.  A drift is taken off, so clean text scores below 0.
+default does not.  It holds `most` of each at most: where more differ, those with the greatest
+difference times log2(1 + count) stay, and the model is 32 MB at any size.  A drift is taken off, so clean text scores below 0.
 
 Score.  The scores of a text are scanned once for all maximal-scoring segments (Ruzzo and Tompa).
 Segment scores of clean text have an exponential tail, which is fitted on labelled clean texts that
@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .bounded import threshold
 from .scratch import materialize
 
-STEM_BYTES, EVIDENCE, HELD_TOKENS = 4, 0.5, 1 << 20
+STEM_BYTES, EVIDENCE, MOST, HELD_TOKENS = 4, 0.5, 1 << 20, 1 << 20
 STRENGTH, DRIFT, LOWEST, HIGHEST = 4.0, 1.5, -4.0, 8.0
 BIN, BINS, ORIGIN = 0.25, 320, -60.0
 #: Segments of clean text in the fitted tail (one in so many tokens, so many at least), and the bins of their scores.
@@ -258,7 +259,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     return texts.join(known.hint("merge"), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_value: float = 1e-3, evidence: float = EVIDENCE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_value: float = 1e-3, evidence: float = EVIDENCE, most: int = MOST) -> Model:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic): three quarters are counted, one quarter calibrates."""
     rows = materialize(labelled(docs, labels, F.lit(True) if usable is None else usable), "labelled")
     counted = rows.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "token long, stem long, toxic long, clean long")
@@ -272,11 +273,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, e_valu
         return model
     share = n.toxic / (n.toxic + n.clean)
     stems = tokens.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    stems = stems.select("stem", clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.lit(0.0))).alias("usual"))
-    scored = tokens.join(stems.hint("merge"), "stem").select("token", "usual", clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.col("usual"))).alias("own"))
-    model.stems = Scores.collected(stems.filter(F.abs("usual") >= evidence).select("stem", "usual"))
-    default = F.when(F.abs("usual") >= evidence, F.col("usual")).otherwise(F.lit(0.0))
-    model.tokens = Scores.collected(scored.filter(F.abs(F.col("own") - default) >= evidence).select("token", "own"))
+    often = F.log2(1 + F.col("toxic") + F.col("clean"))
+    stems = materialize(stems.select("stem", clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.lit(0.0))).alias("usual"), often.alias("often")), "stems")
+
+    def collected(rows: DataFrame, key: str, score: str, difference: Column) -> Scores:
+        strong = rows.filter(F.abs(difference) >= evidence)
+        weight = F.abs(difference) * F.col("often")
+        floor = threshold(strong, weight, F.lit(1), evidence, most)  # often is 1 at least
+        return Scores.collected(strong.filter(weight >= floor).select(key, score))
+
+    model.stems = collected(stems, "stem", "usual", F.col("usual"))
+    kept = stems.select("stem", "usual", F.when(F.abs("usual") >= evidence, F.col("usual")).otherwise(F.lit(0.0)).alias("default"))
+    own = clipped(log_odds(F.col("toxic"), F.col("clean"), share, F.col("usual")))
+    scored = materialize(tokens.join(kept.hint("merge"), "stem").select("token", own.alias("own"), "default", often.alias("often")), "scores")
+    model.tokens = collected(scored, "token", "own", F.col("own") - F.col("default"))
     held = rows.filter("fold = 0")
     counted = held.filter("toxic = 0").select("text").mapInArrow(lambda it: _clean_scores(it, model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     scores = np.zeros(SCORE_BINS)

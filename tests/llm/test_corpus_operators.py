@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from skerry.llm import ann, components, exact_topk, lm_scoring, minhash, mixing, packing, sharding, substring_dedup, textops, toxicity, url_filter
+from skerry.llm import ann, bounded, components, exact_topk, lm_scoring, minhash, mixing, packing, sharding, substring_dedup, textops, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -368,6 +368,17 @@ def test_automaton_matches_brute_force():
         assert list(machine.matches(query)) == want
 
 
+def test_a_threshold_keeps_the_size_bound(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(float(w), n) for w in range(1, 200) for n in (1, 3)], "w double, n int")
+    for most in (10_000, 300, 50, 3):
+        floor = bounded.threshold(rows, F.col("w"), F.col("n"), 2.0, most)
+        kept = lambda f: 4 * sum(w >= f for w in range(1, 200))
+        assert kept(floor) <= most and (floor == 2.0 or kept(floor * 2 ** (-1.001 / bounded.STEPS)) > most)
+    assert bounded.threshold(rows.filter("false"), F.col("w"), F.col("n"), 2.0, 3) == 2.0
+
+
 # -- 5 URL filter -----------------------------------------------------------------------------
 
 
