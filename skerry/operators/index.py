@@ -35,8 +35,10 @@ from . import fts, vector
 VECTOR_KINDS = {"ivf_flat": "flat", "ivf_sq": "sq", "ivf_pq": "pq", "ivf_rq": "rq", "ivf_hnsw_flat": "flat", "ivf_hnsw_sq": "sq", "ivf_hnsw_pq": "pq"}
 SCALAR_KINDS = ("btree", "bitmap", "label_list", "fm")
 PROBES, SAMPLE_RATE, ITERATIONS, MAX_SAMPLE, SPREAD_START = 20, 256, 50, 1 << 20, 256
-#: Distances that a step of k-means holds at once.
-STEP_CELLS = 1 << 22
+#: Distances that a step of k-means holds at once, and those of a whole step from which the executors take the steps.
+STEP_CELLS, DRIVER_CELLS = 1 << 22, 1 << 30
+#: Rows of the sample that fit codes (the centres are fitted on all of it).
+CODE_SAMPLE = 1 << 16
 #: The part of the partitions that a search probes by default, PROBES at least: recall falls with the share, not with the number.
 PROBE_SHARE = 0.75
 #: Commits after which every row that an index covers still is as it was.
@@ -215,6 +217,58 @@ def kmeans(rows: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 1
     return centers
 
 
+def kmeans_frame(sample: DataFrame, k: int, dim: int, iterations: int = ITERATIONS, seed: int = 1) -> np.ndarray:
+    """kmeans over a written sample(v array<float>): each step is one Arrow pass over it and one exchange of sums by centre.
+
+    Starts at k rows picked by hash; a centre without rows stays where it is.  Only centres reach the driver.
+    Steps end when the summed distance falls by less than a thousandth.
+    """
+    first = sample.orderBy(F.xxhash64("v", F.lit(seed))).limit(k).toArrow().column(0)
+    centers = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in first.chunks]).reshape(-1, dim).astype(np.float64)
+    names, kind, before = ["center", "n", "gap", "sum"], "center int, n long, gap double, sum binary", np.inf
+    tasks = max(1, min(len(centers), sample.sparkSession.sparkContext.defaultParallelism * 4))
+
+    def rows(sums: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> pa.RecordBatch:
+        full = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full].astype(np.int64)), pa.array(gaps[full]), pa.array([s.tobytes() for s in sums[full]], pa.binary())], names=names)
+
+    for _ in range(iterations):
+        held = centers
+
+        def assigned(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums, counts, gaps, norms = np.zeros_like(held), np.zeros(len(held)), np.zeros(len(held)), (held**2).sum(axis=1)
+            step = max(1, STEP_CELLS // max(held.shape))
+            for batch in batches:
+                _, v = vector.matrix(batch.column(0), dim)
+                for low in range(0, len(v), step):
+                    some = v[low : low + step].astype(np.float64)
+                    far = norms[None, :] - 2 * some @ held.T
+                    near = far.argmin(axis=1)
+                    np.add.at(sums, near, some)
+                    np.add.at(gaps, near, far[np.arange(len(some)), near] + (some**2).sum(axis=1))
+                    counts += np.bincount(near, minlength=len(held))
+            yield rows(sums, counts, gaps)
+
+        def joined(batches: Iterator[pa.RecordBatch], shape=held.shape) -> Iterator[pa.RecordBatch]:
+            sums, counts, gaps = np.zeros(shape), np.zeros(shape[0]), np.zeros(shape[0])
+            for batch in batches:
+                at = batch.column(0).to_numpy(zero_copy_only=False)
+                np.add.at(counts, at, batch.column(1).to_numpy(zero_copy_only=False))
+                np.add.at(gaps, at, batch.column(2).to_numpy(zero_copy_only=False))
+                np.add.at(sums, at, np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float64).reshape(-1, shape[1]))
+            yield rows(sums, counts, gaps)
+
+        made = sample.mapInArrow(assigned, kind).repartition(tasks, "center").mapInArrow(joined, kind).toArrow()
+        at, n = (made.column(c).to_numpy() for c in ("center", "n"))
+        centers = held.copy()
+        centers[at] = np.frombuffer(b"".join(made.column("sum").to_pylist()), dtype=np.float64).reshape(-1, dim) / n[:, None]
+        now = float(made.column("gap").to_numpy().sum())
+        if before - now <= 1e-3 * now:
+            break
+        before = now
+    return centers
+
+
 class Coder:
     """Vectors to bytes and back, for one partitioning."""
 
@@ -296,17 +350,28 @@ def _build_vector(table, column: str, m, kind: str, params: dict) -> dict:
     wanted = min(MAX_SAMPLE, max(parts * params.get("sample_rate", SAMPLE_RATE), 1 << 12))
     share = min(1.0, 1.2 * wanted / m.rows)  # a bounded sample, picked by hash of the row id
     picked = rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64(ROW_ID), F.lit(1 << 20)) < int(share * (1 << 20)))
-    column_of = picked.filter((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).limit(wanted).select("v").toArrow().column(0)
+    picked = picked.filter((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).limit(wanted).select("v")
+    path, far = _folder(table), min(parts, wanted) * min(wanted, m.rows) > DRIVER_CELLS
+    if far:
+        if metric == "cosine":
+            size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+            picked = picked.select(F.transform("v", lambda x: F.when(size > 0, x / size).otherwise(x).cast("float")).alias("v"))
+        picked.repartition(table.spark.sparkContext.defaultParallelism * 4).write.parquet(f"{path}/sample")
+        picked = table.spark.read.parquet(f"{path}/sample")
+    column_of = (picked.limit(CODE_SAMPLE) if far else picked).toArrow().column(0)
     sample = np.concatenate([np.zeros(0, dtype=np.float32), *[c.flatten().to_numpy(zero_copy_only=False) for c in column_of.chunks]]).reshape(-1, dim)
     if not len(sample):
         raise ValueError("a vector index needs rows to train on")
     sample = _unit(sample) if metric == "cosine" else sample
-    centers = kmeans(sample, parts, params.get("max_iterations", ITERATIONS))
+    if far:
+        centers = kmeans_frame(picked, parts, dim, params.get("max_iterations", ITERATIONS))
+        centers = _unit(centers) if metric == "cosine" else centers
+    else:
+        centers = kmeans(sample, parts, params.get("max_iterations", ITERATIONS))
     sub = params.get("num_sub_vectors") or default_sub_vectors(dim)
     if dim % sub:
         raise ValueError("num_sub_vectors must divide the dimension")
-    coder = Coder.fit(VECTOR_KINDS[kind], sample, centers, sub, params.get("num_bits", 8))
-    path = _folder(table)
+    coder = Coder.fit(VECTOR_KINDS[kind], sample[:CODE_SAMPLE], centers, sub, params.get("num_bits", 8))
     table.spark.createDataFrame([coder.to_row()], _CODER).coalesce(1).write.parquet(f"{path}/coder")
     n = _write_codes(rows, coder, metric, dim, f"{path}/codes-{m.version}")
     return {"paths": [f"{path}/codes-{m.version}"], "coder": f"{path}/coder", "texts": n, "params": params | {"metric": metric, "num_partitions": len(centers), "num_sub_vectors": sub, "dim": dim}}

@@ -518,3 +518,21 @@ def test_too_many_partitions(db, points):
 def test_cast_of_numbers_to_integers_cuts(spark):
     frame = spark.createDataFrame([(98.5, 98), (97.5, 97), (-0.5, 0), (-1.5, -1), (-2.9, -2), (None, None)], "x double, want long")
     assert frame.filter(~col("x").cast(int).to_column().eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_kmeans_on_the_executors(db, points, monkeypatch, spark):
+    from skerry.operators import index
+
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(5, 8)) * 20
+    rows = [((c + rng.normal(size=8) * 0.1).astype(np.float32).tolist(),) for c in middle for _ in range(60)]
+    frame = spark.createDataFrame(rows, "v array<float>").repartition(3)
+    found = index.kmeans_frame(frame, 40, 8)
+    assert all(np.sqrt(((found - c) ** 2).sum(axis=1)).min() < 1 for c in middle)
+    monkeypatch.setattr(index, "DRIVER_CELLS", 0)
+    table, matrix = points
+    for metric in ("l2", "cosine"):
+        copy = db.clone_table(f"far_{metric}", table)
+        copy.create_index("vector", "ivf_pq", num_partitions=6, metric=metric, num_sub_vectors=4, num_bits=6)
+        got = [r["id"] for r in copy.search(matrix[3] + 0.1).nprobes(6).refine_factor(20).limit(10).to_list()]
+        assert len(set(got) & set(brute(matrix, matrix[3] + 0.1, 10, metric))) >= 9
