@@ -536,3 +536,19 @@ def test_kmeans_on_the_executors(db, points, monkeypatch, spark):
         copy.create_index("vector", "ivf_pq", num_partitions=6, metric=metric, num_sub_vectors=4, num_bits=6)
         got = [r["id"] for r in copy.search(matrix[3] + 0.1).nprobes(6).refine_factor(20).limit(10).to_list()]
         assert len(set(got) & set(brute(matrix, matrix[3] + 0.1, 10, metric))) >= 9
+
+
+@pytest.mark.parametrize("spans", [1, 4])
+def test_as_of_in_spans(spark, spans):
+    import datetime
+
+    rng = np.random.default_rng(8)
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=int(n))
+    right = [(i, [1, 1, 1, 2, None][i % 5], day(rng.integers(60, 400))) for i in range(200)] + [(900, 3, day(90)), (901, 1, None)]
+    left = [(i, [1, 2, 3, 4, None][i % 5], day(rng.integers(0, 500))) for i in range(150)] + [(700, 1, None)]
+    l = spark.createDataFrame(left, "lid long, k long, at timestamp").repartition(3)
+    r = spark.createDataFrame(right, "rid long, key long, ts timestamp").repartition(3)
+    old = datetime.datetime.min
+    want = {(i, max(((ts or old, e) for e, key, ts in right if key == k and (ts or old) <= (at or old)), default=(None, None))[1]) for i, k, at in left}
+    got = as_of(l, r, "at", "ts", "k", "key", order="rid", spans=spans)
+    assert {(x.lid, x.rid) for x in got.collect()} == want
