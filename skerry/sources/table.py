@@ -303,6 +303,24 @@ class Table:
     def to_arrow(self) -> pa.Table:
         return self.to_df().toArrow()
 
+    def to_arrow_dataset(self):
+        """The rows as a pyarrow Dataset, for engines that read those (with their filters and projections).
+
+        It reads the data files of this version where they lie.  Files whose columns were renamed since are
+        read by Spark instead, and the dataset holds their rows in memory.
+        """
+        import pyarrow.dataset as ds
+
+        m = self.manifest()
+        if not m.files or any(physical(f) != f.name for f in m.schema):
+            return ds.dataset(self.to_arrow())
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        import pyarrow.fs
+
+        places = [pyarrow.fs.FileSystem.from_uri(self.store.uri(f.path)) for f in m.files]
+        return ds.dataset([p for _, p in places], schema=to_arrow_schema(m.schema), filesystem=places[0][0], format="parquet")
+
     def to_pandas(self, flatten: bool | int = False):
         return (ingest.flatten(self.to_df(), None if flatten is True else int(flatten)) if flatten else self.to_df()).toPandas()
 

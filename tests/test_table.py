@@ -485,3 +485,16 @@ def test_tokenize_by_index(db):
     assert table.list_indices() == [{"name": "name_idx", "kind": "fts", "columns": ["name"]}]
     with pytest.raises(ValueError):
         table.tokenize("x", "age")
+
+
+def test_other_engines_read_an_arrow_dataset(db, spark):
+    import duckdb
+
+    table = db.create_table("t", spark.range(1000).selectExpr("id", "id % 7 AS k", "array(cast(id AS float)) AS v").repartition(3))
+    table.delete("id >= 900")
+    found = table.to_arrow_dataset()
+    assert found.count_rows() == 900 and found.schema.names == ["id", "k", "v"]
+    assert duckdb.sql("SELECT count(*), sum(id) FROM found WHERE k = 3").fetchall() == [(129, sum(i for i in range(900) if i % 7 == 3))]
+    table.alter_columns({"path": "k", "rename": "kind"})
+    renamed = table.to_arrow_dataset()
+    assert duckdb.sql("SELECT count(*) FROM renamed WHERE kind = 3").fetchall() == [(129,)]
