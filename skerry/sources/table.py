@@ -8,8 +8,11 @@ first finds the files it touches (one row a file comes to the driver) and rewrit
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -56,6 +59,36 @@ def stamped(frame: DataFrame, base: int, version: int) -> DataFrame:
     return frame.withColumns({ROW_ID: F.lit(base).cast("long") + F.monotonically_increasing_id(), CREATED: F.lit(version).cast("long"), UPDATED: F.lit(version).cast("long")})
 
 
+@contextlib.contextmanager
+def watched(spark: SparkSession, progress, began: float, every: float = 0.2):
+    """Call progress with the counts of the tasks that this thread's jobs run, again and again; gives the last counts."""
+    last = {"active_tasks": 0, "done_tasks": 0, "total_tasks": 0}
+    if progress is None:
+        yield last
+        return
+    context, group, over = spark.sparkContext, f"write-{uuid.uuid4().hex}", threading.Event()
+    context.setJobGroup(group, "write of a table")
+
+    def look() -> None:
+        tracker = context.statusTracker()
+        while not over.wait(every):
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+            stages = [tracker.getStageInfo(s) for j in jobs if j is not None for s in j.stageIds]
+            for name, of in (("active_tasks", "numActiveTasks"), ("done_tasks", "numCompletedTasks"), ("total_tasks", "numTasks")):
+                last[name] = max(last["total_tasks"] if name == "total_tasks" else 0, sum(getattr(s, of) for s in stages if s is not None))
+            progress({"rows": 0, "bytes": 0, "files": 0, **last, "seconds": time.monotonic() - began, "done": False})
+
+    thread = threading.Thread(target=look, daemon=True)
+    thread.start()
+    try:
+        yield last
+    finally:
+        over.set()
+        thread.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+
+
 def file_name(path: str) -> str:
     return path.rsplit("/", 1)[1]
 
@@ -382,7 +415,11 @@ class Table:
         return frame
 
     def add(self, data, mode: str = "append", on_bad_vectors: str = "error", fill_value: float = 0.0, progress=None) -> Change:
-        """Append or overwrite.  progress, if given, is called with {rows, bytes, files, seconds, done}."""
+        """Append or overwrite.
+
+        progress, if given, is called with {rows, bytes, files, active_tasks, total_tasks, done_tasks, seconds, done}: while the
+        write runs by its tasks, and once at the end by what was written.
+        """
         if mode not in ("append", "overwrite"):
             raise ValueError("mode is append or overwrite")
         began, count = time.monotonic(), 0
@@ -392,10 +429,11 @@ class Table:
             frame = self._admit(data, m, on_bad_vectors, fill_value)
             if (parts := ingest.held_partitions(data, self.spark.sparkContext.defaultParallelism)) is not None:
                 frame = frame.coalesce(parts)
-            files = self._write(m, stamped(frame, m.next_row_id, m.version + 1))
+            with watched(self.spark, progress, began) as tasks:
+                files = self._write(m, stamped(frame, m.next_row_id, m.version + 1))
             count = sum(f.rows for f in files)
             if progress is not None:
-                progress({"rows": count, "bytes": sum(f.bytes for f in files), "files": len(files), "seconds": time.monotonic() - began, "done": True})
+                progress({"rows": count, "bytes": sum(f.bytes for f in files), "files": len(files), **tasks, "active_tasks": 0, "done_tasks": tasks["total_tasks"], "seconds": time.monotonic() - began, "done": True})
             return replace(m, files=(m.files if mode == "append" else ()) + files, next_row_id=next_row_id(m.next_row_id, files))
 
         return Change(self._commit(change, mode).version, inserted=count)

@@ -498,3 +498,18 @@ def test_other_engines_read_an_arrow_dataset(db, spark):
     table.alter_columns({"path": "k", "rename": "kind"})
     renamed = table.to_arrow_dataset()
     assert duckdb.sql("SELECT count(*) FROM renamed WHERE kind = 3").fetchall() == [(129,)]
+
+
+def test_progress_while_a_write_runs(db, spark):
+    table, said = db.create_empty_table("slow", T.StructType([T.StructField("id", T.LongType())])), []
+
+    def slowly(batches):
+        import time
+
+        for b in batches:
+            time.sleep(0.5)
+            yield b
+
+    table.add(spark.range(0, 40, 1, 8).mapInArrow(slowly, "id long"), progress=said.append)
+    assert len(said) > 1 and not said[0]["done"] and any(s["active_tasks"] for s in said[:-1]) and all(s["total_tasks"] >= s["active_tasks"] for s in said)
+    assert said[-1]["done"] and said[-1]["rows"] == 40 and said[-1]["active_tasks"] == 0
