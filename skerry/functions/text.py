@@ -1,12 +1,14 @@
-"""Tokenizers as Column expressions; only stemming leaves the JVM (an Arrow UDF with a memo)."""
+"""Tokenizers as Column expressions; only stemming leaves the JVM (an Arrow UDF over the distinct tokens of a batch)."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,18 +158,20 @@ def porter(word: str) -> str:
     return w
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _stem(word: str) -> str:
+    return porter(word)
+
+
 def stem_all(tokens: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        memo: dict[str, str] = {}
-
-        def one(t: str) -> str:
-            if t not in memo:
-                if len(memo) > 1 << 20:
-                    memo.clear()
-                memo[t] = porter(t)
-            return memo[t]
-
-        return column.map(lambda ts: None if ts is None else [one(t) for t in ts])
+    """Stems of array<string>: each distinct token of an Arrow batch is stemmed once, and remembered by the worker for the next."""
+
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        coded = column.flatten().dictionary_encode()
+        stems = pa.array([None if t is None else _stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, stems.take(coded.indices), mask=column.is_null())
 
     return run(tokens)
