@@ -122,8 +122,9 @@ class Model:
     e_value: float = 1e-3
 
     def values(self, token: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        own, usual = self.tokens.of(token), self.stems.of(stem)
-        return np.where(np.isnan(own), np.nan_to_num(usual), own) - DRIFT
+        _, first, back = np.unique(token, return_index=True, return_inverse=True)  # a stem goes with its token
+        own, usual = self.tokens.of(token[first]), self.stems.of(stem[first])
+        return np.where(np.isnan(own), np.nan_to_num(usual), own)[back] - DRIFT
 
     def segments(self, values: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int, float]]]:
         """Each document's maximal segments."""
