@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -71,6 +73,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int
     held = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(kept)], F.col("doc_id").alias("__doc"), F.col("source").alias("__of"), words.alias("__size"))
     sizes = held.groupBy(F.col("__of").alias("source")).agg(F.sum("__size").alias("source_size"))
     rates = targets(sizes, weights, max_repeats).select(F.col("source").alias("__source"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    # written, so that its size is known when the join is planned: a few sources are broadcast, as many as hosts are not
+    rates = materialize(rates, "rates")
     rate = F.when(F.col("__total") > 0, F.col("__target") / F.col("__total").cast("double")).otherwise(F.lit(0.0))
     extra = F.when(chance(F.col("__doc"), seed) < rate - F.floor(rate), 1).otherwise(0)
     joined = held.join(rates, F.col("__of").eqNullSafe(F.col("__source")))
