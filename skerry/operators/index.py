@@ -4,9 +4,10 @@ Vector indices are inverted files: k-means centroids over a bounded sample, ever
 its nearest centroid and written under that partition, so a probe is partition pruning.  Rows are
 kept whole (flat) or as codes: sq (one byte a dimension), pq (a codeword a subspace) or rq (sign
 bits of the residual).  Graph kinds (hnsw) are the same files without the graph.  Inverted text
-indices are postings sorted by term.  Scalar kinds need no structure of their own, since
-Parquet's row-group bounds, dictionaries and Spark's pushdown do their work; a btree may cluster the
-table by its column, which makes the bounds tight.  An inverted index keeps its vocabulary (terms
+indices are postings sorted by term.  Scalar kinds are postings too: (key, row id) sorted by key, a key being the value
+(btree, bitmap), each element (label_list) or each three characters in a row (fm).  A query's condition
+on such a column is looked up in them, and where few rows fit, their ids go into the scan's filter, so
+that other row groups are skipped.  A btree may also cluster the table by its column.  An inverted index keeps its vocabulary (terms
 and the number of their texts) as a table of its own, which is what fuzzy terms are looked up in.
 
 An index covers the rows as they were at its version: rows written later are searched directly
@@ -16,6 +17,7 @@ and joined in, rows deleted or updated since are left out.
 from __future__ import annotations
 
 import math
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +26,7 @@ from dataclasses import replace as changed
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,8 @@ STEP_CELLS, DRIVER_CELLS = 1 << 22, 1 << 30
 CODE_SAMPLE = 1 << 16
 #: The part of the partitions that a search probes by default, PROBES at least: recall falls with the share, not with the number.
 PROBE_SHARE = 0.75
+#: Characters of an fm index's keys, and the rows up to which a scalar index's answer goes into the scan's filter.
+GRAM, MOST_IDS, KEY = 3, 10_000, "__key"
 #: Commits after which every row that an index covers still is as it was.
 _APPENDS = ("append", "compact", "primary_key", "field_metadata", "add_columns", "drop_columns", "computed_column", "view", "stream")
 _POOL = ThreadPoolExecutor(4)
@@ -93,8 +98,10 @@ def create(table, column: str, kind: str = "auto", name: str | None = None, repl
             entry |= _build_fts(table, column, m, params)
         elif kind in VECTOR_KINDS:
             entry |= _build_vector(table, column, m, kind, params)
-        elif kind == "btree" and params.get("cluster"):
-            entry["version"] = _cluster(table, column)
+        else:
+            if kind == "btree" and params.get("cluster"):
+                entry["version"] = _cluster(table, column)
+            entry["paths"] = _build_keys(table._scan(table.log.read(entry["version"])), column, kind, _folder(table))
         held = {n: e for n, e in table.indices().items() if n != name}
         table.store.replace(table._index_file(), held | {name: entry})
         return entry
@@ -175,6 +182,71 @@ def _since(table, entry: dict) -> tuple[Callable[[DataFrame], DataFrame] | None,
     return lambda rows: rows.join(gone, ROW_ID, "left_anti"), fresh
 
 
+# -- scalars ---------------------------------------------------------------------------------
+
+
+def _build_keys(rows: DataFrame, column: str, kind: str, path: str) -> list[str]:
+    """Write (key, _rowid) of a scalar index; a null value has a null key in btree and bitmap, and none in the others."""
+    value = F.col(column)
+    if kind == "label_list":
+        keys = F.explode(F.array_distinct(value))
+    elif kind == "fm":
+        text = value.cast("string")
+        grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, GRAM))
+        keys = F.explode(F.array_distinct(F.when(F.length(text) >= GRAM, grams)))
+    else:
+        keys = value
+    # ranges over (key, row): a key of a third of all rows is split over many tasks and files
+    rows.select(keys.alias(KEY), ROW_ID).repartitionByRange(KEY, ROW_ID).sortWithinPartitions(KEY, ROW_ID).write.option("compression", "zstd").parquet(path)
+    return [path]
+
+
+_CALL = re.compile(r"\(*\s*(array_contains|contains)\(`?([^`,()]+)`?,\s*(.+?)\)+\s*$", re.S)
+
+
+def _fitting(table, entry: dict, condition: str) -> DataFrame | None:
+    """Ids of the indexed rows that can meet a condition, None if the index can't tell."""
+    column, keys = entry["column"], table.spark.read.parquet(*entry["paths"])
+    if entry["kind"] in ("btree", "bitmap"):
+        if "." in column:
+            return None
+        try:  # a condition on other columns does not resolve here
+            return keys.withColumnRenamed(KEY, column).filter(F.expr(condition)).select(ROW_ID)
+        except AnalysisException:
+            return None
+    call = _CALL.match(condition)
+    if call is None or call[2].strip().lower() != column.lower() or (call[1] == "contains") != (entry["kind"] == "fm"):
+        return None
+    try:
+        wanted = table.spark.range(1).select(F.expr(call[3])).first()[0]
+    except AnalysisException:
+        return None
+    if wanted is None or (entry["kind"] == "fm" and (not isinstance(wanted, str) or len(wanted) < GRAM)):
+        return None
+    if entry["kind"] == "label_list":
+        return keys.filter(F.col(KEY) == F.lit(wanted)).select(ROW_ID)
+    grams = {wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)}
+    return keys.filter(F.col(KEY).isin(sorted(grams))).groupBy(ROW_ID).agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select(ROW_ID)
+
+
+def narrowed(table, rows: DataFrame, conditions: list[str]) -> DataFrame:
+    """rows less those that an index shows to fail a condition: the conditions are still to be applied.
+
+    An index answers for the rows that are as it saw them; rows written or changed since all stay.
+    """
+    held = [e for e in table.indices().values() if e["kind"] in SCALAR_KINDS and e.get("paths") and e["version"] <= table.version]
+    for condition in conditions if held else ():
+        for entry in held:
+            fitting = _fitting(table, entry, condition)
+            if fitting is None:
+                continue
+            ids = [r[0] for r in fitting.limit(MOST_IDS + 1).collect()]
+            if len(ids) <= MOST_IDS:
+                rows = rows.filter(F.col(ROW_ID).isin(ids) | (F.col(UPDATED) > entry["version"]))
+            break
+    return rows
+
+
 # -- vectors ---------------------------------------------------------------------------------
 
 
@@ -550,5 +622,7 @@ def fold(table, name: str) -> dict:
         rows = fresh.select(ROW_ID, F.col(entry["column"]).cast("array<float>").alias("v")).filter("v is not null")
         n = _write_codes(rows, coder, entry["params"]["metric"], entry["params"]["dim"], path)
         new |= {"paths": [*entry["paths"], path], "texts": entry["texts"] + n}
+    elif fresh is not None and entry.get("paths"):
+        new["paths"] = entry["paths"] + _build_keys(fresh, entry["column"], entry["kind"], _folder(table))
     table.store.replace(table._index_file(), table.indices() | {name: new})
     return new

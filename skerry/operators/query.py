@@ -24,6 +24,7 @@ class Query:
     def __init__(self, table) -> None:
         self._table = table
         self._filters: list[Column] = []
+        self._conditions: list[str] = []  # those of the filters that are text
         self._postfilter = False
         self._columns: list[Column] | None = None
         self._named: set[str] = set()
@@ -52,6 +53,8 @@ class Query:
         if isinstance(condition, bytes):
             raise NotImplementedError("Substrait filters: give SQL or an expression")
         self._filters.append(to_column(condition))
+        if not isinstance(condition, Column):
+            self._conditions.append(condition.to_sql() if isinstance(condition, Expr) else condition)
         if prefilter is not None:
             self._postfilter = not prefilter
         return self
@@ -314,7 +317,9 @@ class Query:
             if self._reranker:
                 found = rerank.checked(self._reranker.rerank_text(self._text or "", found))
         else:
-            found = self._filtered(self._rows())
+            from . import index
+
+            found = self._filtered(index.narrowed(self._table, self._rows(), [] if self._bypass else self._conditions))
         if self._order:
             found = found.orderBy(*self._order, ROW_ID)
         elif self._vector is None and self._fts is None and (self._limit is not None or self._offset):

@@ -552,3 +552,23 @@ def test_as_of_in_spans(spark, spans):
     want = {(i, max(((ts or old, e) for e, key, ts in right if key == k and (ts or old) <= (at or old)), default=(None, None))[1]) for i, k, at in left}
     got = as_of(l, r, "at", "ts", "k", "key", order="rid", spans=spans)
     assert {(x.lid, x.rid) for x in got.collect()} == want
+
+
+def test_scalar_indices_narrow_the_scan(db, spark):
+    rows = spark.range(3000).selectExpr("id", "id % 50 AS k", "CASE WHEN id % 9 = 0 THEN NULL ELSE concat('name ', id) END AS name", "array(concat('t', id % 40), 'all') AS tags")
+    table = db.create_table("scalars", rows.repartition(4))
+    plain = db.clone_table("scalars_plain", table)
+    for column, kind in (("id", "btree"), ("k", "bitmap"), ("tags", "label_list"), ("name", "fm")):
+        table.create_index(column, kind)
+    asked = ["id = 77", "id BETWEEN 100 AND 130", "k IN (3, 4)", "name IS NULL", col("tags").to_sql() + " IS NOT NULL", "array_contains(tags, 't7')", "contains(name, '123')", "contains(name, 'zz')", "contains(name, '12')", "array_contains(tags, 'all')", "id = 5 OR k = 5", "id < 10 AND k > 3", "id + k = 40"]
+    for t in (table, plain):
+        t.update({"name": "name 1234567"}, where="id = 2999")
+        t.delete("id = 101")
+        t.add([{"id": 5000, "k": 3, "name": "new 123", "tags": ["t7"]}])
+    both = lambda t, c: sorted(r["id"] for r in t.query().where(c).select(["id"]).to_list())
+    assert [(c, both(table, c)) for c in asked] == [(c, both(plain, c)) for c in asked]
+    assert both(table, col("name").contains("123")) == both(plain, col("name").contains("123")) != []
+    plan = table.query().where("id = 77").to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rowid" in plan and "_updated" in plan.lower()
+    table.optimize()
+    assert all(both(table, c) == both(plain, c) for c in asked)
