@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 STOP_WORDS = tuple(
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 )
+#: Languages with stop words: those of English above, the others as Spark ML has them.
+LANGUAGES = ("Danish", "Dutch", "English", "Finnish", "French", "German", "Hungarian", "Italian", "Norwegian", "Portuguese", "Russian", "Spanish", "Swedish", "Turkish")
 BASES = ("simple", "whitespace", "raw", "ngram")
 UNSUPPORTED = ("icu", "jieba", "lindera")
 
@@ -40,14 +42,20 @@ class Tokenizer:
             raise NotImplementedError(f"tokenizer {self.base_tokenizer} needs a dictionary that isn't here")
         if self.base_tokenizer not in BASES:
             raise ValueError(f"tokenizer is one of {BASES}")
-        if self.language != "English" and (self.stem or (self.remove_stop_words and self.custom_stop_words is None)):
-            raise NotImplementedError(f"no stemmer or stop words for {self.language}: turn them off or give stop words")
+        if self.language != "English" and self.stem:
+            raise NotImplementedError(f"no stemmer for {self.language}: turn it off")
+        if self.language not in LANGUAGES and self.remove_stop_words and self.custom_stop_words is None:
+            raise NotImplementedError(f"no stop words for {self.language}: turn them off or give some")
         if not 1 <= self.ngram_min_length <= self.ngram_max_length:
             raise ValueError("ngram lengths must be 1 <= min <= max")
 
     @property
     def stop_words(self) -> tuple[str, ...]:
-        return () if not self.remove_stop_words else tuple(self.custom_stop_words) if self.custom_stop_words is not None else STOP_WORDS
+        if not self.remove_stop_words:
+            return ()
+        if self.custom_stop_words is not None:
+            return tuple(self.custom_stop_words)
+        return STOP_WORDS if self.language == "English" else _stop_words_of(self.language, self.ascii_folding)
 
     def tokens(self, text: Column) -> Column:
         """array<string> of a text, null for null.  Terms keep their order; removed ones leave no gap."""
@@ -76,6 +84,15 @@ class Tokenizer:
         return spark.range(1).select(self.tokens(F.lit(text)).alias("t")).first().t
 
 
+def _stop_words_of(language: str, folded: bool) -> tuple[str, ...]:
+    """Spark ML's list of a language, with the forms that folding makes of its words."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = StopWordsRemover.loadDefaultStopWords(language.lower())
+    plain = [unicodedata.normalize("NFD", w).encode("ascii", "ignore").decode() for w in words] if folded else []
+    return tuple(dict.fromkeys([*words, *[w for w in plain if w]]))
+
+
 def _folds() -> tuple[str, str]:
     """Letters with marks (Latin-1, Extended-A) and the letters they stand on."""
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x180))]

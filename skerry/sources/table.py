@@ -762,6 +762,13 @@ class Table:
     def prewarm(self) -> DataFrame:
         return self.scan().cache()
 
+    def prewarm_index(self, name: str) -> int:
+        """Hold an index's tables in the executors' storage; the number of their rows."""
+        held = self.indices()
+        if name not in held:
+            raise ValueError(f"no index {name}")
+        return sum(self.spark.read.parquet(path).cache().count() for path in [*held[name].get("paths", []), *held[name].get("terms", [])])
+
     # -- maintenance ---------------------------------------------------------------------------
 
     def compact(self, target_rows: int = TARGET_FILE_ROWS) -> int:

@@ -251,7 +251,10 @@ def test_tokenizers(spark):
     assert Tokenizer("ngram", stem=False, prefix_only=True, ngram_min_length=2).of(spark, "hello yo") == ["he", "hel", "yo"]
     assert Tokenizer(max_token_length=3, stem=False).of(spark, "abcd abc") == ["abc"]
     assert Tokenizer(custom_stop_words=["foo"], stem=False).of(spark, "foo the bar") == ["the", "bar"]
-    for bad in ({"base_tokenizer": "jieba"}, {"base_tokenizer": "lindera/ipadic"}, {"language": "French"}):
+    german = Tokenizer(language="German", stem=False)
+    assert german.of(spark, "Der schnelle Fuchs und die müde Katze für uns") == ["schnelle", "fuchs", "mude", "katze"]
+    assert Tokenizer(language="French", stem=False).of(spark, "Le chat avec nous") == ["chat"]
+    for bad in ({"base_tokenizer": "jieba"}, {"base_tokenizer": "lindera/ipadic"}, {"language": "French"}, {"language": "Klingon", "stem": False}):
         with pytest.raises(NotImplementedError):
             Tokenizer(**bad)
     with pytest.raises(ValueError):
@@ -572,3 +575,9 @@ def test_scalar_indices_narrow_the_scan(db, spark):
     assert "_rowid" in plan and "_updated" in plan.lower()
     table.optimize()
     assert all(both(table, c) == both(plain, c) for c in asked)
+
+
+def test_prewarm_index(docs):
+    assert docs.prewarm_index("text_idx") > 30
+    with pytest.raises(ValueError):
+        docs.prewarm_index("none")
