@@ -104,21 +104,22 @@ class MergeInsert:
             stay = tuple(f for f in m.files if file_name(f.path) not in touched)
             if not found:
                 return m
-            version = F.lit(m.version + 1).cast("long")
-            given = set(source.columns)
-            whole = self._actions(m, typed, m.files if counts.get("insert") else old)
-            if counts.get("insert"):
-                names = [file_name(f.path) for f in old]
-                whole = whole.filter((F.col("_action") == "insert") | F.col("_file").isin(names)) if len(names) <= 1000 else whole.join(table.spark.createDataFrame([(n, 1) for n in names], "_file string, _old int"), "_file", "left").filter("_action = 'insert' or _old = 1")
-            else:
-                whole = whole.filter(F.col("target").isNotNull())
-            whole = whole.filter(~F.coalesce(F.col("_action") == "delete", F.lit(False)))
-            write = F.coalesce(F.col("_action").isin("update", "insert"), F.lit(False))
-            fresh = F.coalesce(F.col("_action") == "insert", F.lit(False))
-            columns = [(F.when(write, F.col(f"source.`{c}`")).otherwise(F.col(f"target.`{c}`")) if c in given else F.col(f"target.`{c}`")).alias(c) for c in held]
-            row_id = F.when(fresh, F.lit(m.next_row_id).cast("long") + F.monotonically_increasing_id()).otherwise(F.col(f"target.{ROW_ID}"))
-            stamp = [row_id.alias(ROW_ID), F.when(fresh, version).otherwise(F.col(f"target.{CREATED}")).alias(CREATED), F.when(write, version).otherwise(F.col(f"target.{UPDATED}")).alias(UPDATED)]
-            files = table._write(m, whole.select(*columns, *stamp))
+            version, first = F.lit(m.version + 1).cast("long"), F.lit(m.next_row_id).cast("long")
+            given, parts = set(source.columns), []
+            if old:
+                rows = self._actions(m, typed, old).filter(F.col("target").isNotNull() & ~F.coalesce(F.col("_action") == "delete", F.lit(False)))
+                write = F.coalesce(F.col("_action") == "update", F.lit(False))
+                columns = [(F.when(write, F.col(f"source.`{c}`")).otherwise(F.col(f"target.`{c}`")) if c in given else F.col(f"target.`{c}`")).alias(c) for c in held]
+                parts.append(rows.select(*columns, F.col(f"target.{ROW_ID}").alias(ROW_ID), F.col(f"target.{CREATED}").alias(CREATED), F.when(write, version).otherwise(F.col(f"target.{UPDATED}")).alias(UPDATED)))
+            if counts.get("insert"):  # of the table only the keys are read
+                there = table._scan(m).select(*[F.col(f"`{k}`").alias(f"__t{i}") for i, k in enumerate(self._on)])
+                new = typed.join(there, [typed[k] == there[f"__t{i}"] for i, k in enumerate(self._on)], "left_anti")
+                columns = [F.col(f"`{c}`") if c in given else F.lit(None).cast(f.dataType).alias(c) for c, f in held.items()]
+                parts.append(new.select(*columns, F.lit(-1).cast("long").alias(ROW_ID), version.alias(CREATED), version.alias(UPDATED)))
+            whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            # numbered in the writing task, as every append is
+            whole = whole.withColumn(ROW_ID, F.when(F.col(ROW_ID) < 0, first + F.monotonically_increasing_id()).otherwise(F.col(ROW_ID)))
+            files = table._write(m, whole)
             return replace(m, files=(*stay, *files), next_row_id=next_row_id(m.next_row_id, files))
 
         version = table._commit(change, "merge").version
