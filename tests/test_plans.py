@@ -215,6 +215,16 @@ def test_context_windows(spark):
             bad()
 
 
+@pytest.mark.parametrize("groups", [(), ("doc",)])
+@pytest.mark.parametrize("window, stride, least", [(5, 2, 2), (3, 4, 3), (4, 4, 1), (1, 1, 1)])
+def test_context_windows_in_cells(spark, groups, window, stride, least):
+    rows = [(f"t{i}" if i % 11 else None, None if i % 3 == 2 else i % 3, i) for i in range(157)]
+    frame = spark.createDataFrame(rows, "token string, doc long, pos int").repartition(5)
+    asked = contextualize(frame, "pos").window(window).stride(stride).group_by(*groups).min_window_size(least).text_column("token")
+    plain, cells = (sorted(map(str, asked.to_df(n).collect())) for n in (1000, 20))
+    assert plain == cells and len(plain) > 20
+
+
 # -- keyed deltas and streams ----------------------------------------------------------------
 
 
