@@ -21,7 +21,7 @@ from ..sources import ingest
 from ..sources.fs import Taken
 from ..sources.snapshot import ROW_ID
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS, OVERFETCH = 1024, 2
 
 
 @dataclass(frozen=True)
@@ -116,12 +116,30 @@ class LsmTier:
         return base.join(new.select(self.key), self.key, "left_anti").select(*columns).unionByName(new.select(*columns))
 
     def nearest(self, query, k: int = 10, column: str | None = None, metric: str = "l2") -> DataFrame:
-        """The k nearest rows of base and generations."""
-        from ..operators import vector
+        """The k nearest rows of base and generations.
+
+        A base with a vector index of that metric is probed for OVERFETCH * k rows, more while too few of them are
+        still the newest of their keys; the generations are searched exactly.
+        """
+        from ..operators import index, vector
 
         q = vector.coerce(query)
-        frame = self.to_df()
-        return vector.nearest(frame, vector.vector_column(self.table.schema, len(q), column), q, metric, k, tie=self.key)
+        column = vector.vector_column(self.table.schema, len(q), column)
+        held = index.vector_index(self.table, column)
+        if held is None or held[1]["params"]["metric"] != metric:
+            return vector.nearest(self.to_df(), column, q, metric, k, tie=self.key)
+        new, want, rows = self.deltas(), OVERFETCH * k, self.table.count_rows()
+        while True:
+            near = self.table.search(q, column).limit(want).to_df()
+            if new is not None:
+                near = near.join(new.select(self.key), self.key, "left_anti")
+            if want >= rows or near.count() >= k:
+                break
+            want *= 4
+        names = [*self.table.columns, "_distance"]
+        if new is not None:
+            near = near.select(*names).unionByName(vector.nearest(new.select(*self.table.columns), column, q, metric, k, tie=self.key).select(*names))
+        return near.select(*names).orderBy("_distance", self.key).limit(k)
 
     def search_text(self, query, column: str, k: int = 10, tokenizer=None) -> DataFrame:
         from ..operators import fts

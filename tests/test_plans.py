@@ -250,6 +250,22 @@ def test_keyed_deltas(db, spec):
         table.lsm(LsmSpec("bucket", "value", 2))
 
 
+def test_keyed_deltas_over_an_indexed_base(db):
+    rows = [{"id": i, "v": [float(i), float(i % 7)]} for i in range(300)]
+    table = db.create_table("lsm_indexed", rows)
+    table.set_primary_key("id")
+    table.create_index("v", "ivf_flat", num_partitions=4)
+    tier = table.lsm(LsmSpec())
+    found = lambda k: [r.id for r in tier.nearest([50.0, 1.0], k=k, column="v").collect()]
+    held = {r["id"]: r["v"] for r in rows}
+    brute = lambda k: sorted(held, key=lambda i: ((held[i][0] - 50) ** 2 + (held[i][1] - 1) ** 2, i))[:k]
+    assert found(5) == brute(5)
+    moved = [{"id": i, "v": [1000.0 + i, 0.0]} for i in range(45, 56)] + [{"id": 900, "v": [50.0, 1.5]}]
+    tier.upsert(moved)
+    held |= {r["id"]: r["v"] for r in moved}
+    assert found(5) == brute(5) and 900 in found(5)
+
+
 def test_lsm_specs_are_checked():
     for bad in (("bucket", "id", 0), ("bucket", "id", 1025), ("identity", None, 1), ("other", "x", 1)):
         with pytest.raises(ValueError):
