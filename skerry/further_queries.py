@@ -386,3 +386,109 @@ def streaming_shares(spark, sf_dir):
         part = StreamingDataset(made, rank=rank, world_size=3).frame().select("p_partkey")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# -- more of the same --------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["knn_l2"])
+def index_built_apart(spark, sf_dir):
+    """An index of the default kind built beside the caller, waited for, found by its name."""
+    table = cloned(_vectors(spark, sf_dir))
+    table.create_index("vector", "ivf_flat", name="apart", num_partitions=8, wait=False).result()
+    table.wait_for_index(["apart"])
+    assert [i["name"] for i in table.list_indices()] == ["apart"]
+    return _rounded(table.search(VECTOR).nprobes(8).select(["vec_id", "label"]).to_df(), "_distance")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de'")
+def index_of_nested_column(spark, sf_dir):
+    table = cloned(imported(spark, sf_dir, "documents", "nested", lambda df: df.select("doc_id", F.struct("lang", F.struct("source").alias("from")).alias("meta"))))
+    assert table.create_index("meta.lang")["kind"] == "btree"
+    return table.query().where("meta.lang = 'de'").select(["doc_id"]).to_df()
+
+
+@query("SELECT 'listed' AS what, 2 AS n UNION ALL SELECT 'left', 1 UNION ALL SELECT 'rows', (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')")
+def view_catalogue(spark, sf_dir):
+    """Views listed, opened and dropped, in a namespace of their own."""
+    db, space = database(spark), [_fresh("views")]
+    db.create_namespace(space)
+    source = cloned(imported(spark, sf_dir, "orders"))
+    for name in ("one", "two"):
+        db.create_view(name, source, {"id": "o_orderkey"}, where="o_orderstatus = 'P'", namespace=space).refresh()
+    listed = len(db.list_views(space))
+    db.drop_view("two", space)
+    return _counted(spark, listed=listed, left=len(db.list_views(space)), rows=db.open_view("one", space).to_df().count())
+
+
+@query("SELECT 'owner' AS key, 'b' AS value UNION ALL SELECT 'unit', 'cent'")
+def field_metadata(spark, sf_dir):
+    """A column's notes, merged and changed."""
+    table = cloned(imported(spark, sf_dir, "part"))
+    table.update_field_metadata("p_retailprice", {"unit": "cent", "owner": "a"})
+    table.update_field_metadata("p_retailprice", {"owner": "b"})
+    notes = {k: v for k, v in table.schema["p_retailprice"].metadata.items() if k in ("unit", "owner")}
+    return spark.createDataFrame(sorted(notes.items()), "key string, value string")
+
+
+@query("SELECT p_partkey * 2 AS twice FROM part WHERE p_size > 10")
+def permutation_mapped(spark, sf_dir):
+    """A filtered order, a renamed column, a function over its batches."""
+    from .plans.permutation import permutation
+
+    made = permutation(imported(spark, sf_dir, "part")).filter("p_size > 10").shuffle(seed=2).build().select_columns(["p_partkey"]).rename_column("p_partkey", "key")
+    return made.map(lambda batches: (pa.RecordBatch.from_arrays([pa.compute.multiply(b.column("key"), 2)], names=["twice"]) for b in batches), "twice long")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def arrow_ipc(spark, sf_dir):
+    """Rows to an Arrow stream of bytes and back."""
+    from .sources.ingest import from_ipc, to_ipc
+
+    return from_ipc(spark, to_ipc(_read(spark, sf_dir, "region").select("r_regionkey", "r_name")))
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 4 OFFSET 7")
+def rows_by_place(spark, sf_dir):
+    """table[a:b]"""
+    return imported(spark, sf_dir, "part", "part_sorted", lambda df: df.coalesce(1).sortWithinPartitions("p_partkey"))[7:11].select("p_partkey")
+
+
+@query(f"WITH {_bm25('blees', 'thention')}, top AS (SELECT doc_id, sum(s) AS s FROM parts GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT 20) SELECT doc_id, length(text)::DOUBLE AS _relevance_score FROM top JOIN documents USING (doc_id) ORDER BY length(text) DESC, doc_id LIMIT 5")
+def model_reranked(spark, sf_dir):
+    """A text search whose rows are scored anew by a function of their texts."""
+    ranker = rerank.ModelReranker(lambda _, texts: texts.str.len(), "text")
+    found = _documents(spark, sf_dir).search("blees thention").limit(20).rerank(ranker).to_df()
+    return found.select("doc_id", "_relevance_score").orderBy(F.col("_relevance_score").desc(), "doc_id").limit(5)
+
+
+@query(f"WITH d AS (SELECT vec_id, {_L2} AS d FROM embeddings) SELECT vec_id, d < 24 AS near FROM d ORDER BY d, vec_id LIMIT 10")
+def search_without_scores(spark, sf_dir):
+    """The distance named in an expression, and not added of itself."""
+    found = _vectors(spark, sf_dir).search(VECTOR).select({"vec_id": "vec_id", "near": "_distance < 24"}).without_scores().to_df()
+    assert found.columns == ["vec_id", "near"]
+    return found
+
+
+@query("SELECT 'lazy' AS what, count(*) AS n FROM region UNION ALL SELECT 'strong', count(*) - 1 FROM region UNION ALL SELECT 'refreshed', count(*) - 1 FROM region")
+def read_consistency(spark, sf_dir):
+    """A handle that may lag behind other writers, and one that may not."""
+    from .sources.catalog import connect
+
+    table = cloned(imported(spark, sf_dir, "region"))
+    lazy = connect(spark, database(spark).uri, freshness=None).open_table(table.name)
+    lazy.count_rows()
+    table.delete("r_regionkey = 1")
+    behind = lazy.count_rows()
+    return _counted(spark, lazy=behind, strong=database(spark).open_table(table.name).count_rows(), refreshed=lazy.checkout_latest().count_rows())
+
+
+@query(f"{_LISTS} SELECT DISTINCT id FROM (SELECT * FROM one UNION ALL SELECT * FROM two)")
+def lists_deduplicated(spark, sf_dir):
+    """Several result lists as one, by a reranker that only says how it scores: each row once."""
+
+    class Nearness(rerank.Reranker):
+        def rerank_vector(self, query, vector):
+            return self._finish(vector, 1 - F.col("_distance"))
+
+    return Nearness().rerank_multivector(_lists(spark, sf_dir)).select(F.col("_rowid").alias("id"))
