@@ -5,7 +5,8 @@ Integers, dates (days), and timestamps (microseconds) are hashed as 8 little-end
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,42 +28,41 @@ def murmur3(data: bytes) -> int:
     return h
 
 
-def _times(a: Column, b: int) -> Column:
-    """a * b modulo 2^32 without passing 2^63."""
-    high = F.shiftleft((a * F.lit(b >> 16).cast("long")).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
-    return (a * F.lit(b & 0xFFFF).cast("long") + high).bitwiseAND(F.lit(MASK))
-
-
-def _turn(a: Column, r: int) -> Column:
-    return F.shiftleft(a, r).bitwiseAND(F.lit(MASK)).bitwiseOR(F.shiftright(a, 32 - r))
-
-
-def _of_long(value: Column) -> Column:
-    h = F.lit(0).cast("long")
-    for word in (value.bitwiseAND(F.lit(MASK)), F.shiftrightunsigned(value, 32)):
-        h = h.bitwiseXOR(_times(_turn(_times(word, C1), 15), C2))
-        h = (_turn(h, 13) * 5 + F.lit(N)).bitwiseAND(F.lit(MASK))
-    h = h.bitwiseXOR(F.lit(8).cast("long"))
+def of_longs(values: np.ndarray) -> np.ndarray:
+    """murmur3 of the 8 little-endian bytes of each number."""
+    u = np.uint32
+    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    words = np.ascontiguousarray(values.astype("<i8")).view("<u4").reshape(-1, 2)
+    h = np.zeros(len(words), dtype=u)
+    for i in (0, 1):
+        h ^= turn(words[:, i] * u(C1), 15) * u(C2)
+        h = turn(h, 13) * u(5) + u(N)
+    h ^= u(8)
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        h = _times(h.bitwiseXOR(F.shiftright(h, shift)), factor)
+        h = (h ^ (h >> u(shift))) * u(factor)
     return h
 
 
 def bucket(value: Column, kind: T.DataType, buckets: int) -> Column:
     """The bucket of a value; null for null."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-
-        @F.pandas_udf("long")
-        def of_bytes(values: pd.Series) -> pd.Series:
-            return values.map(lambda v: None if v is None else murmur3(bytes(v)))
-
-        h = of_bytes(value.cast("binary"))
+        value = value.cast("binary")
     elif isinstance(kind, T.DateType):
-        h = _of_long(F.unix_date(value).cast("long"))
+        value = F.unix_date(value).cast("long")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        h = _of_long(F.unix_micros(value.cast("timestamp")))
+        value = F.unix_micros(value.cast("timestamp"))
     elif isinstance(kind, T.IntegralType):
-        h = _of_long(value.cast("long"))
+        value = value.cast("long")
     else:
         raise ValueError(f"no bucket of {kind.simpleString()}")
-    return (h.bitwiseAND(F.lit(0x7FFFFFFF)) % F.lit(buckets)).cast("int")
+
+    @F.arrow_udf("int")
+    def hashed(values: pa.Array) -> pa.Array:
+        gone = values.is_null().to_numpy(zero_copy_only=False)
+        if pa.types.is_integer(values.type):
+            h = of_longs(values.fill_null(0).to_numpy(zero_copy_only=False))
+        else:
+            h = np.array([0 if v is None else murmur3(v) for v in values.to_pylist()], dtype=np.uint32)
+        return pa.array((h & np.uint32(0x7FFFFFFF)).astype(np.int64) % buckets, pa.int32(), mask=gone)
+
+    return hashed(value)
