@@ -23,6 +23,10 @@ class Store:
     def _path(self, name: str):
         return self._hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def statistics(self) -> list:
+        """Hadoop's counters of this file system in the driver."""
+        return [s for s in self._hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == self._fs.getScheme()]
+
     def uri(self, path: str) -> str:
         """A whole path with its scheme."""
         return self._fs.makeQualified(self._hadoop.fs.Path(path)).toUri().toString().replace("file:/", "file:///", 1) if "://" not in path else path

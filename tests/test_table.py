@@ -513,3 +513,11 @@ def test_progress_while_a_write_runs(db, spark):
     table.add(spark.range(0, 40, 1, 8).mapInArrow(slowly, "id long"), progress=said.append)
     assert len(said) > 1 and not said[0]["done"] and any(s["active_tasks"] for s in said[:-1]) and all(s["total_tasks"] >= s["active_tasks"] for s in said)
     assert said[-1]["done"] and said[-1]["rows"] == 40 and said[-1]["active_tasks"] == 0
+
+
+def test_io_counters_grow(db, spark):
+    before = db.io_stats()
+    table = db.create_table("t", spark.range(50_000).selectExpr("id", "md5(cast(id AS string)) AS t"))
+    assert table.to_df().filter("t < 'a'").count() > 0
+    after = db.io_stats()
+    assert after["input_bytes"] > before["input_bytes"] and set(after) == set(before) and all(after[k] >= before[k] for k in after)
