@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.text import Tokenizer
 from skerry.operators import fts
-from skerry.queries import PLAIN
+from skerry.queries import PLAIN, QUERIES
 from skerry.sources.catalog import connect
 
 TEXTS = [["b", "a", "b"], [], ["c"] * 5, ["a"], ["b", "c"], ["a", "d", "a", "d"], []]
@@ -56,3 +56,8 @@ def test_index_files_of_another_layout_are_not_read(spark, tmp_path):
     table.add([{"text": "a red, red fox"}])
     table.optimize()
     assert table.indices()["text_idx"]["layout"] and len(table.search("red fox").to_list()) == 3
+
+
+def test_one_arm_reads_only_vectors(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i)] * 64, 1) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["rrf_of_one_arm"](spark, str(tmp_path)).count() == 50
